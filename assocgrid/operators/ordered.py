@@ -14,7 +14,7 @@ feature holds a large part of the data.  Here every group is cut in two steps:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,29 +40,32 @@ def ordered_cells(
     value: str,
     counts: Mapping[str, Column],
     payload: Mapping[str, Column] | None = None,
-    totals: Mapping[str, Column] | None = None,
+    totals: Callable[[Callable[[str], Column]], Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with counts, the counts before it and the group's totals.
 
     ``counts``  name -> condition; gives ``name``, ``name_before`` and ``name_total``.
-    ``payload`` name -> aggregate over the rows of one value.
-    ``totals``  name -> aggregate over counts, payload and value, one per group.
+    ``payload`` name -> double aggregate over the rows of one value.
+    ``totals``  given a payload lookup, name -> aggregate over the cells of one group.
+
+    The cells feed two branches (positions inside a code, totals per code).  The payload
+    travels as one array because column pruning would otherwise leave the branches with
+    different columns, and the cells would be scanned and shuffled twice.
     """
-    payload, totals = dict(payload or {}), dict(totals or {})
-    keys = list(keys)
-    cells = rows.groupBy(*keys, value).agg(
-        *[F.count_if(condition).alias(name) for name, condition in counts.items()],
-        *[aggregate.alias(name) for name, aggregate in payload.items()],
-    )
-    cells = cells.withColumn("_code", order_code(value))
+    keys, payload = list(keys), dict(payload or {})
+    aggregates = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+    if payload:
+        aggregates.append(F.array(*[c.cast("double") for c in payload.values()]).alias("_pack"))
+    cells = rows.groupBy(*keys, value).agg(*aggregates).withColumn("_code", order_code(value))
+    place = {name: F.col("_pack")[i] for i, name in enumerate(payload)}
+    group_totals = dict(totals(place.__getitem__)) if totals else {}
     parts = [*keys, "_code"]
 
     inside = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_in") for n in counts])
 
-    # every cell column is read here too, so that both branches share one exchange of the cells
     sums = cells.groupBy(*parts).agg(
-        *[F.sum(n).alias(n) for n in counts], *[aggregate.alias(name) for name, aggregate in totals.items()]
+        *[F.sum(n).alias(n) for n in counts], *[aggregate.alias(name) for name, aggregate in group_totals.items()]
     )
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,12 +73,17 @@ def ordered_cells(
         *parts,
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_off") for n in counts],
         *[F.sum(n).over(group).alias(f"{n}_total") for n in counts],
-        *[_merge(name).over(group).alias(name) for name in totals],
+        *[_merge(name).over(group).alias(name) for name in group_totals],
+    )
+    return placed.join(offsets, parts).select(
+        *keys,
+        value,
+        *counts,
+        *[(F.col(f"{n}_in") + F.col(f"{n}_off")).alias(f"{n}_before") for n in counts],
+        *[f"{n}_total" for n in counts],
+        *[column.alias(name) for name, column in place.items()],
+        *group_totals,
     )
-    joined = placed.join(offsets, parts)
-    for n in counts:
-        joined = joined.withColumn(f"{n}_before", F.col(f"{n}_in") + F.col(f"{n}_off"))
-    return joined.drop("_code", *[f"{n}_in" for n in counts], *[f"{n}_off" for n in counts])
 
 
 def _merge(name: str) -> Column:

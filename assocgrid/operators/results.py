@@ -19,6 +19,19 @@ from assocgrid.storage import materialize
 WINDOW_ROWS = 1_000_000
 
 
+def adjust_window(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg in one task per family: for families whose size is known to be small."""
+    within = Window.partitionBy(*family)
+    descending = within.orderBy(F.col("_p").desc_nulls_last())
+    tested = F.count("_p").over(within)
+    # rank() counts the larger P values, so a row's rank from below is m - rank() + 1
+    df = df.withColumn("_p", F.when(is_finite(p), F.col(p))).withColumn("_m", tested)
+    df = df.withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_m") - F.rank().over(descending) + 1))
+    running = descending.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = F.least(F.lit(1.0), F.min("_raw").over(running))
+    return df.withColumn(out, F.when(F.col("_p").isNotNull(), adjusted)).drop("_p", "_m", "_raw")
+
+
 class ResultTable:
     """A written result table with family-wise adjustments and ranks added to it."""
 
@@ -40,19 +53,11 @@ class ResultTable:
         return self
 
     def _adjust_window(self, value: Column, out: str) -> None:
-        df = self.frame.withColumn("_p", value)
-        descending = Window.partitionBy(*self._family()).orderBy(F.col("_p").desc_nulls_last())
-        tested = F.count("_p").over(Window.partitionBy(*self._family()))
-        # rank() counts the larger P values, so the row's own rank from below is n - rank() + 1
-        raw = F.col("_p") * F.col("_m") / (F.col("_m") - F.rank().over(descending) + 1)
-        running = descending.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn("_m", tested).withColumn("_raw", raw)
-        adjusted = F.least(F.lit(1.0), F.min("_raw").over(running))
-        self.frame = df.withColumn(out, F.when(F.col("_p").isNotNull(), adjusted)).drop("_p", "_m", "_raw")
+        self.frame = adjust_window(self.frame.withColumn("_tested", value), "_tested", out, self.family).drop("_tested")
 
     def _adjust_slices(self, value: Column, out: str) -> None:
         df, slices = self._slices(self.frame.withColumn("_p", value), [F.col("_p").asc_nulls_last()])
-        family = self._family()
+        family = self.family
         tested = df.groupBy(*family).agg(F.count("_p").alias("_m")) if family else df.agg(F.count("_p").alias("_m"))
         df = self._join(df, slices, [*family, "_slice"])
         df = self._join(df, tested, family)
@@ -81,12 +86,12 @@ class ResultTable:
         df = self.frame.withColumn("_ok", passing)
         order = [F.col("_ok").desc(), *order, *[F.col(k).asc_nulls_first() for k in self.key]]
         if self.small:
-            df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*self._family()).orderBy(*order)))
+            df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.family).orderBy(*order)))
             if total:
-                df = df.withColumn(total, F.count_if("_ok").over(Window.partitionBy(*self._family())))
+                df = df.withColumn(total, F.count_if("_ok").over(Window.partitionBy(*self.family)))
         else:
             placed, slices = self._slices(df, order)
-            family = self._family()
+            family = self.family
             df = self._join(placed, slices, [*family, "_slice"])
             df = df.withColumn("_rank", F.col("_seq") - F.col("_first") + F.col("_before") + 1)
             df = df.drop("_slice", "_seq", "_first", "_before")
@@ -98,9 +103,6 @@ class ResultTable:
 
     # ---- helpers ----
 
-    def _family(self) -> list[str]:
-        return self.family
-
     @staticmethod
     def _join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
         if keys:

@@ -7,7 +7,7 @@ statistic with its tie correction and the Pearson moments.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +54,12 @@ def _moment_payload(x: str, prefix: str) -> dict[str, Column]:
     }
 
 
-def _moment_totals(prefix: str, count: str) -> dict[str, Column]:
+def _moment_totals(get: Callable[[str], Column], prefix: str, count: Column) -> dict[str, Column]:
     return {
-        f"{prefix}sum": F.sum(F.col(count) * F.col(f"{prefix}mean")),
-        f"{prefix}m2_sum": F.sum(f"{prefix}m2"),
-        f"min_{prefix}": F.min(f"{prefix}lo"),
-        f"max_{prefix}": F.max(f"{prefix}hi"),
+        f"{prefix}sum": F.sum(count * get(f"{prefix}mean")),
+        f"{prefix}m2_sum": F.sum(get(f"{prefix}m2")),
+        f"min_{prefix}": F.min(get(f"{prefix}lo")),
+        f"max_{prefix}": F.max(get(f"{prefix}hi")),
     }
 
 
@@ -81,12 +81,12 @@ def pair_correlations(
         "_x",
         {"_n": F.lit(True)},
         {**_moment_payload("_y", "y_"), **_moment_payload("_ry", "r_")},
-        {
+        lambda get: {
             "x_sum": F.sum(F.col("_n") * F.col("_x")),
             "min_x": F.min("_x"),
             "max_x": F.max("_x"),
-            **_moment_totals("y_", "_n"),
-            **_moment_totals("r_", "_n"),
+            **_moment_totals(get, "y_", F.col("_n")),
+            **_moment_totals(get, "r_", F.col("_n")),
         },
     )
     w, total = F.col("_n"), F.col("_n_total")
@@ -186,16 +186,16 @@ def group_effects(
     for c, (low, other) in comparisons.items():
         counts[names[c][0]], counts[names[c][1]] = low, other
     payload: dict[str, Column] = {}
-    totals: dict[str, Column] = {}
+    totals = None
     if x is not None:
         rows = rows.withColumn("_x", F.col(x).cast("double"))
         payload = {"x_n": F.count("_x"), **_moment_payload("_x", "x_")}
-        totals = {
-            "n_sum": F.sum("x_n"),
-            "y_sum": F.sum(F.col("x_n") * F.col("_v")),
+        totals = lambda get: {
+            "n_sum": F.sum(get("x_n")),
+            "y_sum": F.sum(get("x_n") * F.col("_v")),
             "min_y": F.min("_v"),
             "max_y": F.max("_v"),
-            **_moment_totals("x_", "x_n"),
+            **_moment_totals(get, "x_", get("x_n")),
         }
     cells = ordered_cells(rows, group, "_v", counts, payload, totals)
 
@@ -205,7 +205,7 @@ def group_effects(
         dy = F.col("_v") - F.col("y_sum") / F.col("n_sum")
         dx = F.col("x_mean") - F.col("x_sum") / F.col("n_sum")
         aggregates += [
-            F.max("n_sum").alias("n_pairs"),
+            F.max("n_sum").cast("long").alias("n_pairs"),
             F.sum(w * dx * dy).alias("sxy"),
             (F.sum(w * dx * dx) + F.max("x_m2_sum")).alias("sxx"),
             F.sum(w * dy * dy).alias("syy"),
