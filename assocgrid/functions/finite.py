@@ -13,8 +13,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def finite_sql(name: str) -> str:
+    return f"(`{name}` IS NOT NULL AND NOT isnan(`{name}`) AND abs(`{name}`) < double('Infinity'))"
+
+
 def is_finite(c: Column | str) -> Column:
     """Neither NULL, NaN nor infinite; never NULL itself."""
+    if isinstance(c, str):
+        return F.expr(finite_sql(c))
     v = col(c)
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
 

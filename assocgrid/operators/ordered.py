@@ -14,24 +14,23 @@ feature holds a large part of the data.  Here every group is cut in two steps:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assocgrid.functions.finite import col, is_finite
+from assocgrid.functions.finite import is_finite
 
 STEPS_PER_OCTAVE = 4096
 # log2 of the smallest positive double is -1074; the shift keeps codes of positive values positive
 CODE_SHIFT = 1100
 
 
-def order_code(value: Column | str) -> Column:
+def order_code_sql(value: str) -> str:
     """Monotone long code of a finite double: v1 < v2 implies code(v1) <= code(v2)."""
-    v = col(value)
-    size = F.floor((F.log2(F.abs(v)) + CODE_SHIFT) * STEPS_PER_OCTAVE)
+    size = f"floor((log2(abs({value})) + {CODE_SHIFT}) * {STEPS_PER_OCTAVE})"
     # coalesce makes the code non-nullable, so no null check separates otherwise equal plans
-    return F.coalesce(F.when(v > 0, size).when(v < 0, -size), F.lit(0).cast("long"))
+    return f"coalesce(CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} END, 0L)"
 
 
 def ordered_cells(
@@ -39,76 +38,72 @@ def ordered_cells(
     keys: Sequence[str],
     value: str,
     counts: Mapping[str, Column],
-    payload: Mapping[str, Column] | None = None,
-    totals: Callable[[Callable[[str], Column]], Mapping[str, Column]] | None = None,
+    payload: Mapping[str, str] | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with counts, the counts before it and the group's totals.
 
     ``counts``  name -> condition; gives ``name``, ``name_before`` and ``name_total``.
-    ``payload`` name -> double aggregate over the rows of one value.
-    ``totals``  given a payload lookup, name -> aggregate over the cells of one group.
+    ``payload`` name -> SQL aggregate (double) over the rows of one value.
+    ``totals``  name -> SQL aggregate over the cells of one group, payload in braces;
+                names starting with ``min_`` or ``max_`` merge that way, others by sum.
 
     The cells feed two branches (positions inside a code, totals per code).  The payload
     travels as one array because column pruning would otherwise leave the branches with
     different columns, and the cells would be scanned and shuffled twice.
     """
-    keys, payload = list(keys), dict(payload or {})
+    keys, payload, totals = list(keys), dict(payload or {}), dict(totals or {})
     aggregates = [F.count_if(condition).alias(name) for name, condition in counts.items()]
     if payload:
-        aggregates.append(F.array(*[c.cast("double") for c in payload.values()]).alias("_pack"))
-    cells = rows.groupBy(*keys, value).agg(*aggregates).withColumn("_code", order_code(value))
-    place = {name: F.col("_pack")[i] for i, name in enumerate(payload)}
-    group_totals = dict(totals(place.__getitem__)) if totals else {}
-    parts = [*keys, "_code"]
-
-    inside = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_in") for n in counts])
-
-    sums = cells.groupBy(*parts).agg(
-        *[F.sum(n).alias(n) for n in counts], *[aggregate.alias(name) for name, aggregate in group_totals.items()]
+        packed = ", ".join(f"double({aggregate})" for aggregate in payload.values())
+        aggregates.append(F.expr(f"array({packed}) AS _pack"))
+    cells = rows.groupBy(*keys, value).agg(*aggregates).withColumn("_code", F.expr(order_code_sql(value)))
+    place = {name: f"_pack[{i}]" for i, name in enumerate(payload)}
+    group = ", ".join(f"`{k}`" for k in keys)
+    parts = f"{group}, _code"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    placed = cells.selectExpr(
+        "*", *[f"coalesce(sum({n}) OVER (PARTITION BY {parts} ORDER BY {value} {earlier}), 0L) AS {n}_in" for n in counts]
+    )
+    sums = cells.groupBy(*keys, "_code").agg(
+        *[F.expr(f"sum({n}) AS {n}") for n in counts],
+        *[F.expr(f"{aggregate.format(**place)} AS {name}") for name, aggregate in totals.items()],
     )
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *parts,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_off") for n in counts],
-        *[F.sum(n).over(group).alias(f"{n}_total") for n in counts],
-        *[_merge(name).over(group).alias(name) for name in group_totals],
+    offsets = sums.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "_code",
+        *[f"coalesce(sum({n}) OVER (PARTITION BY {group} ORDER BY _code {earlier}), 0L) AS {n}_off" for n in counts],
+        *[f"sum({n}) OVER (PARTITION BY {group}) AS {n}_total" for n in counts],
+        *[f"{_merge(name)}({name}) OVER (PARTITION BY {group}) AS {name}" for name in totals],
     )
-    return placed.join(offsets, parts).select(
-        *keys,
+    return placed.join(offsets, [*keys, "_code"]).selectExpr(
+        *[f"`{k}`" for k in keys],
         value,
         *counts,
-        *[(F.col(f"{n}_in") + F.col(f"{n}_off")).alias(f"{n}_before") for n in counts],
+        *[f"{n}_in + {n}_off AS {n}_before" for n in counts],
         *[f"{n}_total" for n in counts],
-        *[column.alias(name) for name, column in place.items()],
-        *group_totals,
+        *[f"{column} AS {name}" for name, column in place.items()],
+        *totals,
     )
 
 
-def _merge(name: str) -> Column:
-    """How a total of codes becomes a total of the group: by its name's prefix."""
-    if name.startswith("min_"):
-        return F.min(name)
-    if name.startswith("max_"):
-        return F.max(name)
-    return F.sum(name)
+def _merge(name: str) -> str:
+    return name[:3] if name.startswith(("min_", "max_")) else "sum"
 
 
-def value_at(value: Column | str, before: Column, count: Column, position: Column) -> Column:
-    """Aggregate: the value at a 1-based position of the sorted group."""
-    return F.max(F.when((before < position) & (position <= before + count), col(value)))
+def quantile_sql(value: str, name: str, q: float) -> str:
+    """SQL aggregate over ``ordered_cells``: quantile with linear interpolation (type 7).
+
+    The two neighbouring positions are looked up by the cell that covers them.
+    """
+    at = f"(({name}_total - 1) * {q!r}D)"
 
+    def value_at(position: str) -> str:
+        return f"max({value}) FILTER (WHERE {name}_before < {position} AND {position} <= {name}_before + {name})"
 
-def quantile_aggregate(value: Column | str, name: str, q: float) -> Column:
-    """Aggregate over ``ordered_cells``: quantile with linear interpolation (type 7)."""
-    before, count, total = F.col(f"{name}_before"), F.col(name), F.col(f"{name}_total")
-    at = (total - 1) * F.lit(q)
-    low = F.floor(at)
-    v_low = value_at(value, before, count, low + 1)
-    v_high = value_at(value, before, count, F.ceil(at) + 1)
-    weight = F.max(at - low)
-    return F.when(weight == 0, v_low).otherwise(v_low + (v_high - v_low) * weight)
+    low, high, weight = value_at(f"(floor({at}) + 1)"), value_at(f"(ceil({at}) + 1)"), f"max({at} - floor({at}))"
+    return f"CASE WHEN {weight} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {weight} END"
 
 
 def exact_quantiles(
@@ -119,7 +114,7 @@ def exact_quantiles(
     cells = ordered_cells(rows, group, value, {"_n": F.lit(True)})
     out = cells.groupBy(*group).agg(
         F.max("_n_total").alias("n"),
-        *[quantile_aggregate(value, "_n", q).alias(name) for name, q in quantiles.items()],
+        *[F.expr(f"{quantile_sql(value, '_n', q)} AS {name}") for name, q in quantiles.items()],
     )
     return out if keys else out.drop("_all")
 
@@ -127,7 +122,7 @@ def exact_quantiles(
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """(keys, value, rank): the mean rank of each distinct value, ties sharing it."""
     cells = ordered_cells(df, keys, value, {"_n": F.lit(True)})
-    return cells.select(*keys, value, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(out))
+    return cells.selectExpr(*[f"`{k}`" for k in keys], value, f"_n_before + (_n + 1) / 2 AS {out}")
 
 
 def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -7,7 +7,7 @@ statistic with its tie correction and the Pearson moments.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from assocgrid.operators.ordered import (
     average_ranks,
     exact_quantiles,
     ordered_cells,
-    quantile_aggregate,
+    quantile_sql,
 )
 
 
@@ -27,12 +27,6 @@ from assocgrid.operators.ordered import (
 # ---- correlations -------------------------------------------------------------------
 
 
-def bounded_r(sxy: Column, sxx: Column, syy: Column, usable: Column) -> Column:
-    """Correlation from centred sums; rounding noise around a perfect fit is removed."""
-    r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-    return F.when(usable, F.when(F.abs(r) > 1 - 1e-14, F.signum(r)).otherwise(r))
-
-
 def correlation_t(r: Column, n: Column) -> Column:
     """t statistic of a correlation; NULL for a perfect one."""
     return F.when((F.abs(r) < 1) & (n > 2), r * F.sqrt((n - 2) / (1 - r * r)))
@@ -44,25 +38,31 @@ def correlation_p(r: Column | str, n: Column | str, perfect: float | None) -> Co
     return F.when(F.abs(r) >= 1, F.lit(perfect).cast("double")).otherwise(t_two_sided(correlation_t(r, n), n - 2))
 
 
-def _moment_payload(x: str, prefix: str) -> dict[str, Column]:
+def _moment_payload(x: str, prefix: str) -> dict[str, str]:
     """Mean, centred square sum and range of x among the rows of one cell."""
     return {
-        f"{prefix}mean": F.avg(x),
-        f"{prefix}m2": F.var_pop(x) * F.count(x),
-        f"{prefix}lo": F.min(x),
-        f"{prefix}hi": F.max(x),
+        f"{prefix}mean": f"avg({x})",
+        f"{prefix}m2": f"var_pop({x}) * count({x})",
+        f"{prefix}lo": f"min({x})",
+        f"{prefix}hi": f"max({x})",
     }
 
 
-def _moment_totals(get: Callable[[str], Column], prefix: str, count: Column) -> dict[str, Column]:
+def _moment_totals(prefix: str, count: str) -> dict[str, str]:
     return {
-        f"{prefix}sum": F.sum(count * get(f"{prefix}mean")),
-        f"{prefix}m2_sum": F.sum(get(f"{prefix}m2")),
-        f"min_{prefix}": F.min(get(f"{prefix}lo")),
-        f"max_{prefix}": F.max(get(f"{prefix}hi")),
+        f"{prefix}sum": f"sum({count} * {{{prefix}mean}})",
+        f"{prefix}m2_sum": f"sum({{{prefix}m2}})",
+        f"min_{prefix}": f"min({{{prefix}lo}})",
+        f"max_{prefix}": f"max({{{prefix}hi}})",
     }
 
 
+def _bounded_r_sql(sxy: str, sxx: str, syy: str, usable: str) -> str:
+    """Correlation from centred sums; rounding noise around a perfect fit is removed."""
+    r = f"try_divide({sxy}, sqrt({sxx}) * sqrt({syy}))"
+    return f"CASE WHEN {usable} THEN CASE WHEN abs({r}) > 1 - 1e-14D THEN signum({r}) ELSE {r} END END"
+
+
 def pair_correlations(
     df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3, prefix: str = ""
 ) -> DataFrame:
@@ -73,7 +73,8 @@ def pair_correlations(
     of a key in one place.
     """
     rows, group = _grouped(finite_pairs(df, x, y), keys)
-    rows = rows.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    names = [f"`{k}`" for k in group]
+    rows = rows.selectExpr(*names, f"double(`{x}`) AS _x", f"double(`{y}`) AS _y")
     ranked = rows.join(average_ranks(rows, group, "_y", "_ry"), [*group, "_y"])
     cells = ordered_cells(
         ranked,
@@ -81,45 +82,41 @@ def pair_correlations(
         "_x",
         {"_n": F.lit(True)},
         {**_moment_payload("_y", "y_"), **_moment_payload("_ry", "r_")},
-        lambda get: {
-            "x_sum": F.sum(F.col("_n") * F.col("_x")),
-            "min_x": F.min("_x"),
-            "max_x": F.max("_x"),
-            **_moment_totals(get, "y_", F.col("_n")),
-            **_moment_totals(get, "r_", F.col("_n")),
+        {
+            "x_sum": "sum(_n * _x)",
+            "min_x": "min(_x)",
+            "max_x": "max(_x)",
+            **_moment_totals("y_", "_n"),
+            **_moment_totals("r_", "_n"),
         },
     )
-    w, total = F.col("_n"), F.col("_n_total")
-    dx = F.col("_x") - F.col("x_sum") / total
-    dy = F.col("y_mean") - F.col("y_sum") / total
-    dry = F.col("r_mean") - F.col("r_sum") / total
-    drx = F.col("_n_before") + (w + 1) / 2 - (total + 1) / 2
-    sums = cells.groupBy(*group).agg(
-        F.max(total).alias("n"),
-        F.sum(w * dx * dy).alias("sxy"),
-        F.sum(w * dx * dx).alias("sxx"),
-        (F.sum(w * dy * dy) + F.max("y_m2_sum")).alias("syy"),
-        F.sum(w * drx * dry).alias("rxy"),
-        F.sum(w * drx * drx).alias("rxx"),
-        (F.sum(w * dry * dry) + F.max("r_m2_sum")).alias("ryy"),
-        ((F.max("min_x") < F.max("max_x")) & (F.max("min_y_") < F.max("max_y_"))).alias("varies"),
-    )
-    usable = (F.col("n") >= min_n) & F.col("varies")
-    out = sums.select(
-        *group,
+    dx, drx = "(_x - x_sum / _n_total)", "(_n_before + (_n + 1) / 2 - (_n_total + 1) / 2)"
+    dy, dry = "(y_mean - y_sum / _n_total)", "(r_mean - r_sum / _n_total)"
+    sums = {
+        "n": "max(_n_total)",
+        "sxy": f"sum(_n * {dx} * {dy})",
+        "sxx": f"sum(_n * {dx} * {dx})",
+        "syy": f"sum(_n * {dy} * {dy}) + max(y_m2_sum)",
+        "rxy": f"sum(_n * {drx} * {dry})",
+        "rxx": f"sum(_n * {drx} * {drx})",
+        "ryy": f"sum(_n * {dry} * {dry}) + max(r_m2_sum)",
+        "varies": "max(min_x) < max(max_x) AND max(min_y_) < max(max_y_)",
+    }
+    usable = f"n >= {min_n} AND varies"
+    out = cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    out = out.selectExpr(
+        *names,
         "n",
-        bounded_r(F.col("sxy"), F.col("sxx"), F.col("syy"), usable).alias("pearson_r"),
-        bounded_r(F.col("rxy"), F.col("rxx"), F.col("ryy"), usable).alias("spearman_rho"),
+        f"{_bounded_r_sql('sxy', 'sxx', 'syy', usable)} AS pearson_r",
+        f"{_bounded_r_sql('rxy', 'rxx', 'ryy', usable)} AS spearman_rho",
     ).select(
         *group,
         "n",
-        "pearson_r",
-        correlation_p("pearson_r", "n", 0.0).alias("pearson_p"),
-        "spearman_rho",
-        correlation_p("spearman_rho", "n", 0.0).alias("spearman_p"),
+        F.col("pearson_r").alias(f"{prefix}pearson_r"),
+        correlation_p("pearson_r", "n", 0.0).alias(f"{prefix}pearson_p"),
+        F.col("spearman_rho").alias(f"{prefix}spearman_rho"),
+        correlation_p("spearman_rho", "n", 0.0).alias(f"{prefix}spearman_p"),
     )
-    names = ["pearson_r", "pearson_p", "spearman_rho", "spearman_p"]
-    out = out.withColumnsRenamed({c: f"{prefix}{c}" for c in names}) if prefix else out
     return out if keys else out.drop("_all")
 
 
@@ -129,17 +126,17 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 10)
     The perfect correlation keeps r = +-1 and has no P, as in the feature-wide screens.
     """
     rows, group = _grouped(finite_pairs(df, x, y), keys)
-    sums = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.covar_pop(x, y).alias("sxy"),
-        F.var_pop(x).alias("sxx"),
-        F.var_pop(y).alias("syy"),
-        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("varies"),
-    )
-    usable = (F.col("n") >= min_n) & F.col("varies")
-    out = sums.select(
-        *group, "n", bounded_r(F.col("sxy"), F.col("sxx"), F.col("syy"), usable).alias("pearson_r")
-    ).withColumn("pearson_p", correlation_p("pearson_r", "n", None))
+    sums = {
+        "n": "count(*)",
+        "sxy": f"covar_pop(`{x}`, `{y}`)",
+        "sxx": f"var_pop(`{x}`)",
+        "syy": f"var_pop(`{y}`)",
+        "varies": f"min(`{x}`) < max(`{x}`) AND min(`{y}`) < max(`{y}`)",
+    }
+    out = rows.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    r = _bounded_r_sql("sxy", "sxx", "syy", f"n >= {min_n} AND varies")
+    out = out.selectExpr(*[f"`{k}`" for k in group], "n", f"{r} AS pearson_r")
+    out = out.withColumn("pearson_p", correlation_p("pearson_r", "n", None))
     return out if keys else out.drop("_all")
 
 
@@ -185,100 +182,91 @@ def group_effects(
     counts: dict[str, Column] = {}
     for c, (low, other) in comparisons.items():
         counts[names[c][0]], counts[names[c][1]] = low, other
-    payload: dict[str, Column] = {}
-    totals = None
+    payload: dict[str, str] = {}
+    totals: dict[str, str] = {}
+    sums: dict[str, str] = {}
     if x is not None:
         rows = rows.withColumn("_x", F.col(x).cast("double"))
-        payload = {"x_n": F.count("_x"), **_moment_payload("_x", "x_")}
-        totals = lambda get: {
-            "n_sum": F.sum(get("x_n")),
-            "y_sum": F.sum(get("x_n") * F.col("_v")),
-            "min_y": F.min("_v"),
-            "max_y": F.max("_v"),
-            **_moment_totals(get, "x_", get("x_n")),
+        payload = {"x_n": "count(_x)", **_moment_payload("_x", "x_")}
+        totals = {
+            "n_sum": "sum({x_n})",
+            "y_sum": "sum({x_n} * _v)",
+            "min_y": "min(_v)",
+            "max_y": "max(_v)",
+            **_moment_totals("x_", "{x_n}"),
+        }
+        dy, dx = "(_v - y_sum / n_sum)", "(x_mean - x_sum / n_sum)"
+        sums = {
+            "n_pairs": "bigint(max(n_sum))",
+            "sxy": f"sum(x_n * {dx} * {dy})",
+            "sxx": f"sum(x_n * {dx} * {dx}) + max(x_m2_sum)",
+            "syy": f"sum(x_n * {dy} * {dy})",
+            "varies": "max(min_x_) < max(max_x_) AND max(min_y) < max(max_y)",
         }
     cells = ordered_cells(rows, group, "_v", counts, payload, totals)
-
-    aggregates: list[Column] = []
-    if x is not None:
-        w = F.col("x_n")
-        dy = F.col("_v") - F.col("y_sum") / F.col("n_sum")
-        dx = F.col("x_mean") - F.col("x_sum") / F.col("n_sum")
-        aggregates += [
-            F.max("n_sum").cast("long").alias("n_pairs"),
-            F.sum(w * dx * dy).alias("sxy"),
-            (F.sum(w * dx * dx) + F.max("x_m2_sum")).alias("sxx"),
-            F.sum(w * dy * dy).alias("syy"),
-            ((F.max("min_x_") < F.max("max_x_")) & (F.max("min_y") < F.max("max_y"))).alias("varies"),
-        ]
     for a, b in names.values():
-        both = (F.col(a) + F.col(b)).cast("double")
-        rank = F.col(f"{a}_before") + F.col(f"{b}_before") + (both + 1) / 2
-        aggregates += [
-            F.max(f"{a}_total").alias(f"{a}_n"),
-            F.max(f"{b}_total").alias(f"{b}_n"),
-            F.sum(F.col(a) * F.col("_v")).alias(f"{a}_sum"),
-            F.sum(F.col(b) * F.col("_v")).alias(f"{b}_sum"),
-            quantile_aggregate("_v", a, 0.5).alias(f"{a}_median"),
-            quantile_aggregate("_v", b, 0.5).alias(f"{b}_median"),
-            F.sum(F.col(a) * rank).alias(f"{a}_ranks"),
-            F.sum(both * both * both - both).alias(f"{a}_ties"),
-        ]
-    wide = cells.groupBy(*group).agg(*aggregates)
-
-    entries = []
-    for c, (a, b) in names.items():
-        n1, n2 = F.col(f"{a}_n"), F.col(f"{b}_n")
-        eligible = (n1 >= min_n) & (n2 >= min_n)
-        shown = eligible if gate_effects else F.lit(True)
-        mean1 = F.when(shown & (n1 > 0), F.try_divide(F.col(f"{a}_sum"), n1))
-        mean2 = F.when(shown & (n2 > 0), F.try_divide(F.col(f"{b}_sum"), n2))
-        med1 = F.when(shown & (n1 > 0), F.col(f"{a}_median"))
-        med2 = F.when(shown & (n2 > 0), F.col(f"{b}_median"))
-        w_stat, z = rank_sum_z(n1, n2, F.col(f"{a}_ranks"), F.col(f"{a}_ties"))
-        entries.append(
-            F.struct(
-                F.lit(c).alias("comparison"),
-                n1.alias("n_low"),
-                n2.alias("n_other"),
-                mean1.alias("mean_low"),
-                mean2.alias("mean_other"),
-                med1.alias("median_low"),
-                med2.alias("median_other"),
-                (mean1 - mean2).alias("delta_mean"),
-                (med1 - med2).alias("delta_median"),
-                F.when(eligible, w_stat).alias("rank_sum_w"),
-                F.when(eligible, z).alias("rank_sum_z"),
-                eligible.alias("eligible"),
-            )
-        )
-    out = wide.select(
-        *group, *([c for c in ("n_pairs", "sxy", "sxx", "syy", "varies")] if x is not None else []),
-        F.inline(F.array(*entries)),
+        both = f"double({a} + {b})"
+        sums |= {
+            f"{a}_n": f"max({a}_total)",
+            f"{b}_n": f"max({b}_total)",
+            f"{a}_sum": f"sum({a} * _v)",
+            f"{b}_sum": f"sum({b} * _v)",
+            f"{a}_median": quantile_sql("_v", a, 0.5),
+            f"{b}_median": quantile_sql("_v", b, 0.5),
+            f"{a}_ranks": f"sum({a} * ({a}_before + {b}_before + ({both} + 1) / 2))",
+            f"{a}_ties": f"sum({both} * {both} * {both} - {both})",
+        }
+    wide = cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+
+    entries = ", ".join(
+        f"struct('{c}' AS comparison, {a}_n AS n_low, {b}_n AS n_other, {a}_sum AS s1, {b}_sum AS s2, "
+        f"{a}_median AS m1, {b}_median AS m2, {a}_ranks AS ranks, {a}_ties AS ties)"
+        for c, (a, b) in names.items()
+    )
+    moments = ["n_pairs", "sxy", "sxx", "syy", "varies"] if x is not None else []
+    keep = [*[f"`{k}`" for k in group], *moments]
+    out = wide.selectExpr(*keep, f"inline(array({entries}))")
+    eligible = f"(n_low >= {min_n} AND n_other >= {min_n})"
+    shown = eligible if gate_effects else "true"
+    out = out.selectExpr(
+        *keep,
+        "comparison",
+        "n_low",
+        "n_other",
+        f"CASE WHEN {shown} THEN try_divide(s1, n_low) END AS mean_low",
+        f"CASE WHEN {shown} THEN try_divide(s2, n_other) END AS mean_other",
+        f"CASE WHEN {shown} THEN m1 END AS median_low",
+        f"CASE WHEN {shown} THEN m2 END AS median_other",
+        f"CASE WHEN {eligible} THEN ranks - n_low * (n_low + 1) / 2 END AS rank_sum_w",
+        # normal approximation with tie correction; n1 * n2 as double cannot overflow
+        f"CASE WHEN {eligible} THEN double(n_low) * n_other / 12 * "
+        "((n_low + n_other + 1) - try_divide(ties, double(n_low + n_other) * (n_low + n_other - 1))) END AS variance",
+        f"{eligible} AS eligible",
+    )
+    distance = "(rank_sum_w - double(n_low) * n_other / 2)"
+    usable = f"n_pairs >= {min_pairs} AND varies"
+    out = out.selectExpr(
+        *[f"`{k}`" for k in group],
+        *(["n_pairs AS n", f"{_bounded_r_sql('sxy', 'sxx', 'syy', usable)} AS pearson_r"] if moments else []),
+        *([f"comparison AS `{label}`"] if label else []),
+        "n_low",
+        "n_other",
+        "mean_low",
+        "mean_other",
+        "median_low",
+        "median_other",
+        "mean_low - mean_other AS delta_mean",
+        "median_low - median_other AS delta_median",
+        "rank_sum_w",
+        # continuity correction of one half towards the centre
+        f"CASE WHEN variance > 0 THEN ({distance} - signum({distance}) * 0.5D) / sqrt(variance) END AS rank_sum_z",
+        "eligible",
     ).withColumn("rank_sum_p", normal_two_sided("rank_sum_z"))
-    if x is not None:
-        usable = (F.col("n_pairs") >= min_pairs) & F.col("varies")
-        out = (
-            out.withColumn("pearson_r", bounded_r(F.col("sxy"), F.col("sxx"), F.col("syy"), usable))
-            .withColumn("pearson_p", correlation_p("pearson_r", "n_pairs", None))
-            .withColumnRenamed("n_pairs", "n")
-            .drop("sxy", "sxx", "syy", "varies")
-        )
-    out = out.withColumnRenamed("comparison", label) if label else out.drop("comparison")
+    if moments:
+        out = out.withColumn("pearson_p", correlation_p("pearson_r", "n", None))
     return out if keys else out.drop("_all")
 
 
-def rank_sum_z(n1: Column, n2: Column, rank_sum: Column, ties: Column) -> tuple[Column, Column]:
-    """W and z of the rank-sum test: normal approximation, tie and continuity correction."""
-    a, b = n1.cast("double"), n2.cast("double")
-    n = a + b
-    w = rank_sum - a * (a + 1) / 2
-    variance = a * b / 12 * ((n + 1) - F.try_divide(ties, n * (n - 1)))
-    distance = w - a * b / 2
-    z = F.when(variance > 0, (distance - F.signum(distance) * 0.5) / F.sqrt(variance))
-    return w, z
-
-
 def split(low: Column) -> tuple[Column, Column]:
     """Low group and everything else where the condition is known."""
     return F.coalesce(low, F.lit(False)), F.coalesce(~low, F.lit(False))
