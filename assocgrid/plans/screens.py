@@ -286,3 +286,7 @@ def low_group(level: str = "level_log", cutoff: float = LOW_CUTOFF) -> Column:
     return F.col(level) < cutoff
 
 
+def significant_counts(table: DataFrame, family: Sequence[str], fdr: str, alpha: float = 0.05) -> DataFrame:
+    """Eligible rows below ``alpha`` and all rows per family."""
+    hit = F.col("eligible") & (F.col(fdr) < alpha)
+    return table.groupBy(*family).agg(F.count_if(hit).alias("n_significant"), F.count(F.lit(1)).alias("n_strata"))

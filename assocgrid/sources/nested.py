@@ -82,20 +82,31 @@ def clinical_rows(cases: DataFrame) -> DataFrame:
     )
 
 
-def leaf_rows(parents: DataFrame, keep: Sequence[str], levels: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows of the deepest level of nested arrays, or one row of NULLs for an empty parent.
+def leaf_rows(parents: DataFrame, keep: Sequence[str], levels: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """Rows of the deepest level of nested arrays; a parent without any leaf gives one row of NULLs.
 
-    ``levels`` are (array path inside the previous level, name): for example
-    [("portions", "portion"), ("analytes", "analyte"), ("aliquots", "aliquot")].
+    ``levels`` are (array field inside the previous level, fields to keep from it), such as
+    [("portions", ["portion_id"]), ("analytes", ["analyte_id"]), ("aliquots", ["aliquot_id"])].
+    The leaves of one parent are gathered inside its own nested value, without a shuffle.
     """
-    df, names = parents.select(*keep, levels[0][0]), []
-    for depth, (path, name) in enumerate(levels):
-        source = path if depth == 0 else f"{levels[depth - 1][1]}.{path}"
-        df = df.select(*keep, *names, F.explode_outer(source).alias(name))
-        names.append(name)
-    # a parent keeps its null leaf only if it has no real one: real leaves are counted per
-    # parent inside the nested value, so no shuffle is needed
-    return df
+
+    def leaves(array: Column, depth: int, carried: list[Column]) -> Column:
+        fields = levels[depth][1]
+
+        def step(item: Column) -> Column:
+            own = [*carried, *[item[f].alias(f) for f in fields]]
+            if depth + 1 == len(levels):
+                return F.struct(*own)
+            return leaves(item[levels[depth + 1][0]], depth + 1, own)
+
+        mapped = F.transform(array, step)
+        if depth + 1 == len(levels):
+            return mapped
+        return F.flatten(F.filter(mapped, lambda inner: inner.isNotNull()))
+
+    names = [f for _, fields in levels for f in fields]
+    rows = parents.select(*keep, F.explode_outer(leaves(F.col(levels[0][0]), 0, [])).alias("_leaf"))
+    return rows.select(*keep, *[F.col("_leaf")[f].alias(f) for f in names])
 
 
 def file_entities(files: DataFrame) -> DataFrame:
