@@ -272,7 +272,7 @@ def chained_correlations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # one flag per user and event type; users are matched to customers by key
-FLAGS = """fl AS (SELECT user_id AS entity, event_type AS definition, CASE WHEN max(value) > 25 THEN 1.0 ELSE 0.0 END AS value FROM events GROUP BY 1, 2)"""
+FLAGS = """fl AS (SELECT user_id AS entity, event_type AS definition, CASE WHEN avg(value) > 50 THEN 1.0 ELSE 0.0 END AS value FROM events GROUP BY 1, 2)"""
 WANTED = ["click", "error", "purchase", "view", "hotspot"]
 
 
@@ -286,7 +286,7 @@ def mutation_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flags(t: Tables) -> DataFrame:
-    flag = F.when(F.max("value") > 25, 1.0).otherwise(0.0)
+    flag = F.when(F.avg("value") > 50, 1.0).otherwise(0.0)
     return t.events.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("definition")).agg(flag.alias("value"))
 
 
