@@ -28,8 +28,8 @@ def known_stratum(stratum: str) -> Column:
 
 
 def stratum_sums(df: DataFrame, keys: Sequence[str], stratum: str, y: str, xs: dict[str, Column | str]) -> DataFrame:
-    """n, means and centred sums of y and of every x per (keys, stratum)."""
-    n = F.count(F.lit(1))
+    """n, means and centred sums of y and of every x per (keys, stratum); NULL y is not counted."""
+    n = F.count(y)
     columns = [n.alias("n"), F.avg(y).alias("y_mean"), (F.var_pop(y) * n).alias("syy"), F.min(y).alias("y_lo"), F.max(y).alias("y_hi")]
     for name, x in xs.items():
         columns += [
@@ -65,17 +65,18 @@ def adjusted_screen(
 ) -> DataFrame:
     """Stratum-adjusted slope of every feature on the driver, continuous and binary.
 
-    One row per feature; features that cannot be fitted carry the reason.
+    One row per feature; features that cannot be fitted carry the reason.  Unusable cells
+    are blanked rather than dropped, so a feature without any usable cell is reported too.
     """
-    rows = df.where(is_finite(value) & is_finite(driver) & known_stratum(stratum)).select(
-        feature, stratum, F.col(value).alias("_y"), F.col(driver).alias("_x"), low.cast("double").alias("_b")
-    )
-    sums = stratum_sums(rows, [feature], stratum, "_y", {"c": "_x", "b": "_b"})
+    usable = is_finite(value) & is_finite(driver) & F.coalesce(known_stratum(stratum), F.lit(False))
+    cells = {"_s": F.col(stratum), "_y": F.col(value), "_x": F.col(driver), "_b": low.cast("double")}
+    rows = df.select(feature, *[F.when(usable, c).alias(name) for name, c in cells.items()])
+    sums = stratum_sums(rows, [feature], "_s", "_y", {"c": "_x", "b": "_b"})
     per = sums.groupBy(feature).agg(
         F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("n_strata"),
+        F.count_if(F.col("n") > 0).alias("n_strata"),
         F.sum("syy").alias("syy"),
-        (F.min("y_lo") < F.max("y_hi")).alias("varies"),
+        F.coalesce(F.min("y_lo") < F.max("y_hi"), F.lit(False)).alias("varies"),
         *slope_columns("c"),
         *slope_columns("b"),
     )

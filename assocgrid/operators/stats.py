@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assocgrid.functions.finite import col, finite_pairs, is_finite
+from assocgrid.functions.finite import col, finite_pairs, finite_sql, is_finite
 from assocgrid.functions.tails import normal_two_sided, t_two_sided
 from assocgrid.operators.ordered import (
     _grouped,
@@ -123,15 +123,20 @@ def pair_correlations(
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 10) -> DataFrame:
     """n and Pearson r per key: one partially aggregated pass, no ranking.
 
-    The perfect correlation keeps r = +-1 and has no P, as in the feature-wide screens.
+    A perfect correlation keeps r = +-1 and has no P, as in the feature-wide screens; a key
+    without any finite pair is reported with n = 0.
     """
-    rows, group = _grouped(finite_pairs(df, x, y), keys)
+    rows, group = _grouped(df, keys)
+    pair = f"{finite_sql(x)} AND {finite_sql(y)}"
+    rows = rows.selectExpr(
+        *[f"`{k}`" for k in group], f"CASE WHEN {pair} THEN double(`{x}`) END AS _x", f"CASE WHEN {pair} THEN double(`{y}`) END AS _y"
+    )
     sums = {
-        "n": "count(*)",
-        "sxy": f"covar_pop(`{x}`, `{y}`)",
-        "sxx": f"var_pop(`{x}`)",
-        "syy": f"var_pop(`{y}`)",
-        "varies": f"min(`{x}`) < max(`{x}`) AND min(`{y}`) < max(`{y}`)",
+        "n": "count(_x)",
+        "sxy": "covar_pop(_x, _y)",
+        "sxx": "var_pop(_x)",
+        "syy": "var_pop(_y)",
+        "varies": "min(_x) < max(_x) AND min(_y) < max(_y)",
     }
     out = rows.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
     r = _bounded_r_sql("sxy", "sxx", "syy", f"n >= {min_n} AND varies")
@@ -168,6 +173,7 @@ def group_effects(
     min_pairs: int = 10,
     gate_effects: bool = False,
     label: str | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Effect of each comparison on the finite y of each key.
 
@@ -175,18 +181,21 @@ def group_effects(
     the Pearson correlation of x and y over all rows of the key comes from the same pass.
     ``gate_effects`` hides means and medians of ineligible comparisons.  ``label`` names the
     output column holding the comparison label (left out when there is only one).
+    ``keep_empty`` also reports keys without any finite y, with zero counts: their cells
+    collapse to one uncounted NULL cell.
     """
-    rows, group = _grouped(df.where(is_finite(y)), keys)
-    rows = rows.withColumn("_v", F.col(y).cast("double"))
+    rows, group = _grouped(df if keep_empty else df.where(is_finite(y)), keys)
+    finite = is_finite(y) if keep_empty else F.lit(True)
+    rows = rows.withColumn("_v", F.when(finite, F.col(y).cast("double")) if keep_empty else F.col(y).cast("double"))
     names = {c: (f"a{i}", f"b{i}") for i, c in enumerate(comparisons)}
     counts: dict[str, Column] = {}
     for c, (low, other) in comparisons.items():
-        counts[names[c][0]], counts[names[c][1]] = low, other
+        counts[names[c][0]], counts[names[c][1]] = (finite & low, finite & other) if keep_empty else (low, other)
     payload: dict[str, str] = {}
     totals: dict[str, str] = {}
     sums: dict[str, str] = {}
     if x is not None:
-        rows = rows.withColumn("_x", F.col(x).cast("double"))
+        rows = rows.withColumn("_x", F.when(finite, F.col(x).cast("double")) if keep_empty else F.col(x).cast("double"))
         payload = {"x_n": "count(_x)", **_moment_payload("_x", "x_")}
         totals = {
             "n_sum": "sum({x_n})",

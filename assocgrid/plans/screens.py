@@ -18,6 +18,7 @@ from assocgrid.functions.states import LOW_CUTOFF, TIERS, mutation_group, prepar
 from assocgrid.operators.bootstrap import bootstrap_median_difference
 from assocgrid.operators.models import adjusted_screen, known_stratum
 from assocgrid.operators.ordered import exact_quantiles
+from assocgrid.operators.quality import duplicate_keys, require_none
 from assocgrid.operators.results import ResultTable, adjust_window
 from assocgrid.operators.stats import group_effects, pair_correlations, pearson, split
 from assocgrid.storage import materialize
@@ -40,14 +41,24 @@ SCREEN_SCHEMA = (
 
 
 def feature_effects(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP) -> DataFrame:
-    """Correlation and two-group effect of every feature against the driver (no families)."""
+    """Correlation and two-group effect of every feature against the driver (no families).
+
+    Features without any usable cell stay in the result, untested.
+    """
     groups = driver.where(is_finite(x)).select("entity", F.col(x).alias("_driver"), low.alias("_low"))
-    rows = matrix.join(groups, "entity").select("feature", "value", "_driver", "_low")
+    rows = _matched_cells(matrix, groups).select("feature", "value", "_driver", "_low")
     return group_effects(
-        rows, ["feature"], "value", {"low": split(F.col("_low"))}, min_n=min_n, x="_driver", gate_effects=True
+        rows, ["feature"], "value", {"low": split(F.col("_low"))}, min_n=min_n, x="_driver", gate_effects=True, keep_empty=True
     )
 
 
+def _matched_cells(matrix: DataFrame, driver: DataFrame) -> DataFrame:
+    """All cells with their driver columns; the value of an unmatched entity is blanked, so that
+    its feature is still known while its cell is not counted."""
+    rows = matrix.join(driver, "entity", "left")
+    return rows.withColumn("value", F.when(F.col("_driver").isNotNull(), F.col("value")))
+
+
 def feature_screen(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP) -> DataFrame:
     """The full screen: effects, two adjusted families, all-rows rank and eligible rank.
 
@@ -79,6 +90,13 @@ def screen_status(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min
     return counts.withColumn("status", F.when(small, "SKIPPED").otherwise("computed"))
 
 
+def strict_alignment(matrix: DataFrame, meta: DataFrame) -> DataFrame:
+    """Cells joined to metadata; repeated cells or metadata rows are an error, unmatched ones drop out."""
+    require_none(duplicate_keys(matrix, ["entity", "feature"]), "repeated matrix cells")
+    require_none(duplicate_keys(meta, ["entity"]), "repeated metadata rows")
+    return matrix.join(meta, "entity")
+
+
 def gated_screen(
     matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP
 ) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +110,7 @@ def gated_screen(
 def covariation(matrix: DataFrame, feature: str, min_n: int = 10) -> DataFrame:
     """Pearson correlation of one feature with every feature of the same matrix, itself included."""
     one = matrix.where((F.col("feature") == feature) & is_finite("value")).select("entity", F.col("value").alias("_driver"))
-    rows = matrix.join(one, "entity")
+    rows = matrix.join(one, "entity", "left")
     table = ResultTable(pearson(rows, ["feature"], "_driver", "value", min_n), ["feature"])
     return table.adjust("pearson_p", "fdr").frame
 
@@ -107,19 +125,19 @@ def quantile_screen(matrix: DataFrame, driver: DataFrame, x: str, quantiles: Seq
     flags = cohort.withColumns(
         {f"_low{i}": F.col("_driver") <= cut.select(f"q{i}").scalar() for i in range(len(quantiles))}
     )
-    rows = matrix.join(flags, "entity")
+    rows = _matched_cells(matrix, flags)
     groups = group_effects(
-        rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile"
+        rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile", keep_empty=True
     ).withColumn("quantile", F.col("quantile").cast("double"))
     table = ResultTable(groups, ["feature"], ["quantile"]).adjust("rank_sum_p", "rank_sum_fdr").frame
     pairs = ResultTable(pair_correlations(rows, ["feature"], "_driver", "value"), ["feature"])
-    return table.join(pairs.adjust("pearson_p", "pearson_fdr").frame, "feature", "left")
+    return table.join(pairs.adjust("pearson_p", "pearson_fdr").frame, "feature", "left").fillna({"n": 0})
 
 
 def ranked_adjusted_screen(matrix: DataFrame, driver: DataFrame, x: str, stratum: str, low: Column) -> DataFrame:
     """Stratum-adjusted screen with two families and a rank by adjusted P, slope and name."""
     meta = driver.select("entity", F.col(x).alias("_driver"), F.col(stratum).alias("_stratum"), low.alias("_low"))
-    rows = matrix.join(meta, "entity")
+    rows = matrix.join(meta, "entity", "left")
     screen = adjusted_screen(rows, "feature", "value", "_driver", "_stratum", F.col("_low"))
     table = ResultTable(screen, ["feature"]).adjust("p_driver", "fdr_driver").adjust("p_low", "fdr_low")
     table.rank("eligible_rank", [F.col("fdr_driver"), F.col("beta_driver")], F.col("fdr_driver").isNotNull(), "eligible_n")

@@ -79,6 +79,18 @@ def feature_screen(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_screen(spark, folder))
 
 
+M150 = M.replace("p_brand AS feature", "p_brand || '|' || p_type AS feature")
+
+
+@add("feature_screen_150", SCREEN.replace(M, M150) + final("SELECT * FROM s", ["feature"], ["n", *EFFECT_INTS, "rank", "eligible_n"],
+     ["pearson_r", "delta_median", "rank_sum_p", "pearson_fdr", "rank_sum_fdr"]))
+def feature_screen_150(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    matrix = long_matrix(t, F.concat("p_brand", F.lit("|"), "p_type"))
+    out = screens.feature_screen(matrix, driver(t), "level_log", screens.low_group())
+    return rounded(out.select("feature", "n", *EFFECT_INTS, "rank", "eligible_n", "pearson_r", "delta_median", "rank_sum_p", "pearson_fdr", "rank_sum_fdr"))
+
+
 @add("screen_top", SCREEN + final("""SELECT feature, eligible_rank, delta_median, CASE WHEN delta_median < 0 THEN 'lower in low group' ELSE 'higher in low group' END AS direction
    FROM s WHERE eligible_rank IS NOT NULL AND delta_median <> 0 QUALIFY row_number() OVER (PARTITION BY delta_median < 0 ORDER BY eligible_rank) <= 5""",
    ["feature", "direction"], ["eligible_rank"], ["delta_median"]))
