@@ -63,7 +63,7 @@ def bootstrap_median_difference(
     rows = df.where(is_finite(value) & low.isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias(key), F.when(low, 0).otherwise(1).alias("side"), F.col(value).cast("double").alias("_v")
     )
-    cells = ordered_cells(rows, [key, "side"], "_v", {"_n": F.lit(True)})
+    cells = ordered_cells(rows, [key, "side"], "_v", {"_n": "true"})
     sizes = rows.groupBy(key, "side").agg(F.count(F.lit(1)).alias("n"))
     both = sizes.groupBy(key).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("sides"))
     both = both.where((F.col("sides") == 2) & (F.col("least") >= min_n)).select(key)

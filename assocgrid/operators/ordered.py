@@ -1,26 +1,29 @@
 """Ranks, medians and quantiles of groups of any size.
 
-A plain window over one group sorts that group in one task, which fails once a single
-feature holds a large part of the data.  Here every group is cut in two steps:
+Keys are divided by their number of rows, counted in one cheap pass:
 
-1. equal values collapse to one counted row (partial aggregation before the shuffle, so a
-   value shared by a third of all rows costs one row per map task);
-2. the remaining distinct values are windowed inside (group, code), where ``code`` is a
-   monotone function of the value with 4096 steps per factor of two.  Totals per code are
-   few, and their running sums give the offset of each code inside its group.
+* cold keys (up to ``HOT_ROWS`` rows) are sorted and windowed as a whole, one shuffle;
+* hot keys first collapse equal values to one counted row, a cell (so a value shared by a
+  third of all rows costs one row per map task), then their cells are windowed inside
+  (key, code), where the code is a monotone function of the value with 4096 steps per
+  factor of two, and shifted by the running totals of the codes before.
 
-``code`` depends on the value alone, so a recomputed task always gives the same cut.
+There are at most (number of rows) / ``HOT_ROWS`` hot keys, so their list is small enough to
+broadcast for any input.  The code depends on the value alone: a recomputed task always
+gives the same cut.  Without hot keys adaptive execution drops the hot branch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import is_finite
 
+# rows up to which one task orders a group as a whole
+HOT_ROWS = 4_000_000
 STEPS_PER_OCTAVE = 4096
 # log2 of the smallest positive double is -1074; the shift keeps codes of positive values positive
 CODE_SHIFT = 1100
@@ -33,54 +36,88 @@ def order_code_sql(value: str) -> str:
     return f"coalesce(CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} END, 0L)"
 
 
+def split_by_size(rows: DataFrame, keys: Sequence[str], sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of cold keys, rows of hot keys).
+
+    ``sized`` is a frame with the keys of at least all rows to count instead, such as the
+    matrix before a join; counting it reads only the key columns.
+    """
+    sizes = (rows if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(sizes.where(f"_rows > {HOT_ROWS}").select(*keys))
+    return rows.join(hot, list(keys), "left_anti"), rows.join(hot, list(keys), "left_semi")
+
+
+def ordered_rows(rows: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, str]) -> DataFrame:
+    """Rows of cold keys with, for each counted condition, their place in the sorted key.
+
+    ``counts`` name -> SQL condition; gives ``name`` (0 or 1), ``name_cell`` (rows of equal
+    value), ``name_before`` (rows of smaller value) and ``name_total``.
+    """
+    group = ", ".join(f"`{k}`" for k in keys)
+    flagged = rows.selectExpr("*", *[f"CASE WHEN {condition} THEN 1L ELSE 0L END AS {n}" for n, condition in counts.items()])
+    upto = f"(PARTITION BY {group} ORDER BY {value} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    placed = flagged.selectExpr(
+        "*",
+        *[f"sum({n}) OVER {upto} AS {n}_upto" for n in counts],
+        *[f"sum({n}) OVER (PARTITION BY {group}) AS {n}_total" for n in counts],
+    ).selectExpr("*", *[f"sum({n}) OVER (PARTITION BY {group}, {value}) AS {n}_cell" for n in counts])
+    return placed.withColumns({f"{n}_before": F.expr(f"{n}_upto - {n}_cell") for n in counts}).drop(*[f"{n}_upto" for n in counts])
+
+
 def ordered_cells(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
-    counts: Mapping[str, Column],
+    counts: Mapping[str, str],
     payload: Mapping[str, str] | None = None,
     totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with counts, the counts before it and the group's totals.
 
-    ``counts``  name -> condition; gives ``name``, ``name_before`` and ``name_total``.
+    ``counts``  name -> SQL condition; gives ``name``, ``name_cell``, ``name_before``, ``name_total``.
     ``payload`` name -> SQL aggregate (double) over the rows of one value.
     ``totals``  name -> SQL aggregate over the cells of one group, payload in braces;
                 names starting with ``min_`` or ``max_`` merge that way, others by sum.
 
-    The cells feed two branches (positions inside a code, totals per code).  The payload
-    travels as one array because column pruning would otherwise leave the branches with
-    different columns, and the cells would be scanned and shuffled twice.
+    The cells feed two branches (places inside a code, totals per code).  Column pruning
+    would leave them with different columns, and the cells would be scanned and shuffled
+    twice; so the payload travels as one array and both branches read every column, which
+    lets them share one exchange.
     """
     keys, payload, totals = list(keys), dict(payload or {}), dict(totals or {})
-    aggregates = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+    aggregates = [F.expr(f"count_if({condition}) AS {name}") for name, condition in counts.items()]
     if payload:
         packed = ", ".join(f"double({aggregate})" for aggregate in payload.values())
         aggregates.append(F.expr(f"array({packed}) AS _pack"))
     cells = rows.groupBy(*keys, value).agg(*aggregates).withColumn("_code", F.expr(order_code_sql(value)))
+    columns = ", ".join([value, *counts, *(["_pack"] if payload else [])])
     place = {name: f"_pack[{i}]" for i, name in enumerate(payload)}
     group = ", ".join(f"`{k}`" for k in keys)
-    parts = f"{group}, _code"
-    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    names = [f"`{k}`" for k in keys]
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
     placed = cells.selectExpr(
-        "*", *[f"coalesce(sum({n}) OVER (PARTITION BY {parts} ORDER BY {value} {earlier}), 0L) AS {n}_in" for n in counts]
+        "*", *[f"coalesce(sum({n}) OVER (PARTITION BY {group}, _code ORDER BY {value} {before}), 0L) AS {n}_in" for n in counts]
     )
+    if payload:
+        placed = placed.where("size(_pack) > 0")
     sums = cells.groupBy(*keys, "_code").agg(
         *[F.expr(f"sum({n}) AS {n}") for n in counts],
         *[F.expr(f"{aggregate.format(**place)} AS {name}") for name, aggregate in totals.items()],
+        F.expr(f"bit_xor(xxhash64({columns})) AS _read"),
     )
-    offsets = sums.selectExpr(
-        *[f"`{k}`" for k in keys],
+    offsets = sums.where("_read IS NOT NULL").selectExpr(
+        *names,
         "_code",
-        *[f"coalesce(sum({n}) OVER (PARTITION BY {group} ORDER BY _code {earlier}), 0L) AS {n}_off" for n in counts],
+        *[f"coalesce(sum({n}) OVER (PARTITION BY {group} ORDER BY _code {before}), 0L) AS {n}_off" for n in counts],
         *[f"sum({n}) OVER (PARTITION BY {group}) AS {n}_total" for n in counts],
         *[f"{_merge(name)}({name}) OVER (PARTITION BY {group}) AS {name}" for name in totals],
     )
     return placed.join(offsets, [*keys, "_code"]).selectExpr(
-        *[f"`{k}`" for k in keys],
+        *names,
         value,
         *counts,
+        *[f"{n} AS {n}_cell" for n in counts],
         *[f"{n}_in + {n}_off AS {n}_before" for n in counts],
         *[f"{n}_total" for n in counts],
         *[f"{column} AS {name}" for name, column in place.items()],
@@ -93,14 +130,14 @@ def _merge(name: str) -> str:
 
 
 def quantile_sql(value: str, name: str, q: float) -> str:
-    """SQL aggregate over ``ordered_cells``: quantile with linear interpolation (type 7).
+    """SQL aggregate over ordered rows or cells: quantile with linear interpolation (type 7).
 
-    The two neighbouring positions are looked up by the cell that covers them.
+    The two neighbouring positions are looked up by the value that covers them.
     """
     at = f"(({name}_total - 1) * {q!r}D)"
 
     def value_at(position: str) -> str:
-        return f"max({value}) FILTER (WHERE {name}_before < {position} AND {position} <= {name}_before + {name})"
+        return f"max({value}) FILTER (WHERE {name}_before < {position} AND {position} <= {name}_before + {name}_cell)"
 
     low, high, weight = value_at(f"(floor({at}) + 1)"), value_at(f"(ceil({at}) + 1)"), f"max({at} - floor({at}))"
     return f"CASE WHEN {weight} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {weight} END"
@@ -111,17 +148,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles of the finite values per group; groups may be of any size."""
     rows, group = _grouped(df.where(is_finite(value)), keys)
-    cells = ordered_cells(rows, group, value, {"_n": F.lit(True)})
-    out = cells.groupBy(*group).agg(
-        F.max("_n_total").alias("n"),
-        *[F.expr(f"{quantile_sql(value, '_n', q)} AS {name}") for name, q in quantiles.items()],
-    )
+    rows = rows.selectExpr(*[f"`{k}`" for k in group], f"double(`{value}`) + 0.0D AS _v")
+    cold, hot = split_by_size(rows, group)
+    sums = [F.max("_n_total").alias("n"), *[F.expr(f"{quantile_sql('_v', '_n', q)} AS {name}") for name, q in quantiles.items()]]
+    parts = [ordered_rows(cold, group, "_v", {"_n": "true"}), ordered_cells(hot, group, "_v", {"_n": "true"})]
+    out = parts[0].groupBy(*group).agg(*sums).unionByName(parts[1].groupBy(*group).agg(*sums))
     return out if keys else out.drop("_all")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """(keys, value, rank): the mean rank of each distinct value, ties sharing it."""
-    cells = ordered_cells(df, keys, value, {"_n": F.lit(True)})
+    cells = ordered_cells(df, keys, value, {"_n": "true"})
     return cells.selectExpr(*[f"`{k}`" for k in keys], value, f"_n_before + (_n + 1) / 2 AS {out}")
 
 

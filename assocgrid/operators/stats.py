@@ -19,7 +19,9 @@ from assocgrid.operators.ordered import (
     average_ranks,
     exact_quantiles,
     ordered_cells,
+    ordered_rows,
     quantile_sql,
+    split_by_size,
 )
 
 
@@ -68,19 +70,40 @@ def pair_correlations(
 ) -> DataFrame:
     """n, Pearson and Spearman with P per key; NULL below ``min_n`` or for a constant side.
 
-    Ranks are taken among the finite pairs of each key.  y is ranked first; the cells of x
-    then carry the mean and spread of y and of its rank, so neither ranking needs all rows
-    of a key in one place.
+    Ranks are taken among the finite pairs of each key; keys of any size are allowed.
     """
     rows, group = _grouped(finite_pairs(df, x, y), keys)
     names = [f"`{k}`" for k in group]
-    rows = rows.selectExpr(*names, f"double(`{x}`) AS _x", f"double(`{y}`) AS _y")
-    ranked = rows.join(average_ranks(rows, group, "_y", "_ry"), [*group, "_y"])
+    rows = rows.selectExpr(*names, f"double(`{x}`) + 0.0D AS _x", f"double(`{y}`) + 0.0D AS _y")
+    cold, hot = split_by_size(rows, group)
+
+    # cold keys: both ranks from windows over the same partitioning, then built-in moments
+    part = ", ".join(names)
+
+    def rank(v: str) -> str:
+        upto = f"count(*) OVER (PARTITION BY {part} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return f"(rank() OVER (PARTITION BY {part} ORDER BY {v}) + {upto}) / 2"
+
+    ranked = cold.selectExpr("*", f"{rank('_y')} AS _ry").selectExpr("*", f"{rank('_x')} AS _rx")
+    moments = {
+        "n": "count(*)",
+        "sxy": "covar_pop(_x, _y)",
+        "sxx": "var_pop(_x)",
+        "syy": "var_pop(_y)",
+        "rxy": "covar_pop(_rx, _ry)",
+        "rxx": "var_pop(_rx)",
+        "ryy": "var_pop(_ry)",
+        "varies": "min(_x) < max(_x) AND min(_y) < max(_y)",
+    }
+    out = ranked.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in moments.items()])
+
+    # hot keys: y is ranked first; the cells of x then carry the mean and spread of y and its rank
+    ranked = hot.join(average_ranks(hot, group, "_y", "_ry"), [*group, "_y"])
     cells = ordered_cells(
         ranked,
         group,
         "_x",
-        {"_n": F.lit(True)},
+        {"_n": "true"},
         {**_moment_payload("_y", "y_"), **_moment_payload("_ry", "r_")},
         {
             "x_sum": "sum(_n * _x)",
@@ -102,8 +125,8 @@ def pair_correlations(
         "ryy": f"sum(_n * {dry} * {dry}) + max(r_m2_sum)",
         "varies": "max(min_x) < max(max_x) AND max(min_y_) < max(max_y_)",
     }
+    out = out.unionByName(cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()]))
     usable = f"n >= {min_n} AND varies"
-    out = cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
     out = out.selectExpr(
         *names,
         "n",
@@ -174,6 +197,7 @@ def group_effects(
     gate_effects: bool = False,
     label: str | None = None,
     keep_empty: bool = False,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """Effect of each comparison on the finite y of each key.
 
@@ -181,21 +205,48 @@ def group_effects(
     the Pearson correlation of x and y over all rows of the key comes from the same pass.
     ``gate_effects`` hides means and medians of ineligible comparisons.  ``label`` names the
     output column holding the comparison label (left out when there is only one).
-    ``keep_empty`` also reports keys without any finite y, with zero counts: their cells
-    collapse to one uncounted NULL cell.
+    ``keep_empty`` also reports keys without any finite y, with zero counts.
+    ``sized`` is passed to ``split_by_size``.
     """
     rows, group = _grouped(df if keep_empty else df.where(is_finite(y)), keys)
-    finite = is_finite(y) if keep_empty else F.lit(True)
-    rows = rows.withColumn("_v", F.when(finite, F.col(y).cast("double")) if keep_empty else F.col(y).cast("double"))
+    keys_sql = [f"`{k}`" for k in group]
     names = {c: (f"a{i}", f"b{i}") for i, c in enumerate(comparisons)}
-    counts: dict[str, Column] = {}
+    flags = {}
     for c, (low, other) in comparisons.items():
-        counts[names[c][0]], counts[names[c][1]] = (finite & low, finite & other) if keep_empty else (low, other)
+        flags[f"{names[c][0]}_is"], flags[f"{names[c][1]}_is"] = low, other
+    finite = finite_sql(y) if keep_empty else "true"
+    rows = rows.withColumns(flags).selectExpr(
+        *keys_sql,
+        f"CASE WHEN {finite} THEN double(`{y}`) + 0.0D END AS _v",
+        *([f"CASE WHEN {finite} THEN double(`{x}`) END AS _x"] if x is not None else []),
+        *[f"{finite} AND {flag} AS {flag}" for flag in flags],
+    )
+    counts = {flag.removesuffix("_is"): flag for flag in flags}
+    sums: dict[str, str] = {}
+    for a, b in names.values():
+        cell = f"double({a}_cell + {b}_cell)"
+        sums |= {
+            f"{a}_n": f"max({a}_total)",
+            f"{b}_n": f"max({b}_total)",
+            f"{a}_sum": f"sum({a} * _v)",
+            f"{b}_sum": f"sum({b} * _v)",
+            f"{a}_median": quantile_sql("_v", a, 0.5),
+            f"{b}_median": quantile_sql("_v", b, 0.5),
+            f"{a}_ranks": f"sum({a} * ({a}_before + {b}_before + ({cell} + 1) / 2))",
+            f"{a}_ties": f"sum(({a} + {b}) * ({cell} * {cell} - 1))",
+        }
+    row_moments: dict[str, str] = {}
+    cell_moments: dict[str, str] = {}
     payload: dict[str, str] = {}
     totals: dict[str, str] = {}
-    sums: dict[str, str] = {}
     if x is not None:
-        rows = rows.withColumn("_x", F.when(finite, F.col(x).cast("double")) if keep_empty else F.col(x).cast("double"))
+        row_moments = {
+            "n_pairs": "count(_x)",
+            "sxy": "covar_pop(_x, _v)",
+            "sxx": "var_pop(_x)",
+            "syy": "var_pop(CASE WHEN _x IS NOT NULL THEN _v END)",
+            "varies": "min(_x) < max(_x) AND min(_v) < max(_v)",
+        }
         payload = {"x_n": "count(_x)", **_moment_payload("_x", "x_")}
         totals = {
             "n_sum": "sum({x_n})",
@@ -205,27 +256,17 @@ def group_effects(
             **_moment_totals("x_", "{x_n}"),
         }
         dy, dx = "(_v - y_sum / n_sum)", "(x_mean - x_sum / n_sum)"
-        sums = {
+        cell_moments = {
             "n_pairs": "bigint(max(n_sum))",
             "sxy": f"sum(x_n * {dx} * {dy})",
             "sxx": f"sum(x_n * {dx} * {dx}) + max(x_m2_sum)",
             "syy": f"sum(x_n * {dy} * {dy})",
             "varies": "max(min_x_) < max(max_x_) AND max(min_y) < max(max_y)",
         }
-    cells = ordered_cells(rows, group, "_v", counts, payload, totals)
-    for a, b in names.values():
-        both = f"double({a} + {b})"
-        sums |= {
-            f"{a}_n": f"max({a}_total)",
-            f"{b}_n": f"max({b}_total)",
-            f"{a}_sum": f"sum({a} * _v)",
-            f"{b}_sum": f"sum({b} * _v)",
-            f"{a}_median": quantile_sql("_v", a, 0.5),
-            f"{b}_median": quantile_sql("_v", b, 0.5),
-            f"{a}_ranks": f"sum({a} * ({a}_before + {b}_before + ({both} + 1) / 2))",
-            f"{a}_ties": f"sum({both} * {both} * {both} - {both})",
-        }
-    wide = cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    cold, hot = split_by_size(rows, group, sized)
+    by_row, by_cell = ordered_rows(cold, group, "_v", counts), ordered_cells(hot, group, "_v", counts, payload, totals)
+    wide = by_row.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**row_moments, **sums}.items()])
+    wide = wide.unionByName(by_cell.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**cell_moments, **sums}.items()]))
 
     entries = ", ".join(
         f"struct('{c}' AS comparison, {a}_n AS n_low, {b}_n AS n_other, {a}_sum AS s1, {b}_sum AS s2, "

@@ -48,7 +48,7 @@ def feature_effects(matrix: DataFrame, driver: DataFrame, x: str, low: Column, m
     groups = driver.where(is_finite(x)).select("entity", F.col(x).alias("_driver"), low.alias("_low"))
     rows = _matched_cells(matrix, groups).select("feature", "value", "_driver", "_low")
     return group_effects(
-        rows, ["feature"], "value", {"low": split(F.col("_low"))}, min_n=min_n, x="_driver", gate_effects=True, keep_empty=True
+        rows, ["feature"], "value", {"low": split(F.col("_low"))}, min_n=min_n, x="_driver", gate_effects=True, keep_empty=True, sized=matrix
     )
 
 
@@ -127,7 +127,7 @@ def quantile_screen(matrix: DataFrame, driver: DataFrame, x: str, quantiles: Seq
     )
     rows = _matched_cells(matrix, flags)
     groups = group_effects(
-        rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile", keep_empty=True
+        rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile", keep_empty=True, sized=matrix
     ).withColumn("quantile", F.col("quantile").cast("double"))
     table = ResultTable(groups, ["feature"], ["quantile"]).adjust("rank_sum_p", "rank_sum_fdr").frame
     pairs = ResultTable(pair_correlations(rows, ["feature"], "_driver", "value"), ["feature"])
