@@ -45,7 +45,7 @@ def _continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarr
             c = guard(1.0 + step / c)
             delta = c * d
             h = h * delta
-        if np.all(np.abs(delta - 1.0) < 1e-16):
+        if np.all(np.abs(delta - 1.0) < 4e-16):
             break
     return h
 

@@ -110,6 +110,9 @@ def gated_screen(
 def covariation(matrix: DataFrame, feature: str, min_n: int = 10) -> DataFrame:
     """Pearson correlation of one feature with every feature of the same matrix, itself included."""
     one = matrix.where((F.col("feature") == feature) & is_finite("value")).select("entity", F.col("value").alias("_driver"))
+    # written first: the planner then knows its true size and broadcasts it only if it is small,
+    # where a filter over the matrix would be planned as a shuffle of the whole matrix
+    one = materialize(one, "driver")
     rows = matrix.join(one, "entity", "left")
     table = ResultTable(pearson(rows, ["feature"], "_driver", "value", min_n), ["feature"])
     return table.adjust("pearson_p", "fdr").frame

@@ -12,12 +12,12 @@ from assocgrid.operators.models import adjusted_coefficients
 from assocgrid.operators.ordered import exact_quantiles
 from assocgrid.plans import screens
 from assocgrid.plans.ledger import modules_of
+from assocgrid.storage import materialize
 
 
 def screen_workflow(matrix: DataFrame, driver_matrix: DataFrame, feature: str, cohort: DataFrame, strata: DataFrame) -> dict[str, DataFrame]:
     """Tables of the one-driver workflow: cohort tables, gated screen and covariation."""
-    one = driver_matrix.where(F.col("feature") == feature).select("entity", F.col("value").alias("level"))
-    driver = prepare_driver(one, "level")
+    driver = prepare_driver(_one_feature(driver_matrix, feature), "level")
     status, screen = screens.gated_screen(matrix, driver, "level_log", screens.low_group())
     return {
         "stratum_order": stratum_order(cohort, strata, "stratum"),
@@ -29,13 +29,17 @@ def screen_workflow(matrix: DataFrame, driver_matrix: DataFrame, feature: str, c
     }
 
 
+def _one_feature(matrix: DataFrame, feature: str) -> DataFrame:
+    """One feature as driver, written so that joins are planned from its true size."""
+    return materialize(matrix.where(F.col("feature") == feature).select("entity", F.col("value").alias("level")), "driver")
+
+
 def pair_workflow(
     matrix: DataFrame, driver_matrix: DataFrame, feature: str, target: str, strata_of: DataFrame, cohort: DataFrame, strata: DataFrame
 ) -> dict[str, DataFrame]:
     """The screen workflow plus every table that depends on the target."""
     out = screen_workflow(matrix, driver_matrix, feature, cohort, strata)
-    one = driver_matrix.where(F.col("feature") == feature).select("entity", F.col("value").alias("level"))
-    pair = screens.matched_pair(one, matrix.where(F.col("feature") == target))
+    pair = screens.matched_pair(_one_feature(driver_matrix, feature), matrix.where(F.col("feature") == target))
     placed = pair.join(strata_of, "entity")
     out["targeted"] = screens.targeted_statistics(pair)
     out["stratified"] = screens.stratified_effects(placed, "stratum", screens.low_group())

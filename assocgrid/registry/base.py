@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assocgrid.functions.finite import log2_plus_one
+from assocgrid.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # a second use finds the attribute, schema and all
+        return table
 
 
 def long_matrix(t: Tables, feature: Column | None = None) -> DataFrame:
@@ -52,6 +55,11 @@ def long_matrix(t: Tables, feature: Column | None = None) -> DataFrame:
     return joined.groupBy("entity", "feature").agg(F.sum("l_quantity").alias("value"))
 
 
+def prepared_matrix(t: Tables) -> DataFrame:
+    """The same matrix written once, for plans that read it more than once."""
+    return materialize(long_matrix(t), "matrix")
+
+
 def driver(t: Tables) -> DataFrame:
     """driver(entity, level, level_log, stratum): one row per customer."""
     level = F.col("c_acctbal") / 5000

@@ -31,12 +31,13 @@ from assocgrid.registry.base import (
     final,
     long_matrix,
     normal_p,
+    prepared_matrix,
     rounded,
     t_p,
 )
+from assocgrid.storage import materialize
 
 add = REGISTRY.add
-LOW = "level_log < 0.585"
 
 EFFECT_INTS = ["n_low", "n_other"]
 EFFECT_FLOATS = ["mean_low", "mean_other", "median_low", "median_other", "delta_mean", "delta_median"]
@@ -54,14 +55,14 @@ SCREEN = f"""WITH {M}, {DRV}, {JOINED},
 
 def _screen(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return screens.feature_screen(long_matrix(t), driver(t), "level_log", screens.low_group())
+    return screens.feature_screen(prepared_matrix(t), driver(t), "level_log", screens.low_group())
 
 
 @add("screen_effects", f"WITH {M}, {DRV}, {JOINED} " + final(
     effects_sql("r", "feature", 3, ", count(*) AS n, corr(x, y) AS pearson_r"), ["feature"], ["n", *EFFECT_INTS], ["pearson_r", *EFFECT_FLOATS]))
 def screen_effects(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    out = screens.feature_effects(long_matrix(t), driver(t), "level_log", screens.low_group())
+    out = screens.feature_effects(prepared_matrix(t), driver(t), "level_log", screens.low_group())
     return rounded(out.select("feature", "n", *EFFECT_INTS, "pearson_r", *EFFECT_FLOATS))
 
 
@@ -69,7 +70,7 @@ def screen_effects(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT *, {normal_p('rank_sum_z')} AS rank_sum_p FROM ({effects_sql('r', 'feature', 3)})", ["feature"], EFFECT_INTS, ["rank_sum_w", "rank_sum_z", "rank_sum_p"]))
 def screen_rank_sum(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    out = screens.feature_effects(long_matrix(t), driver(t), "level_log", screens.low_group())
+    out = screens.feature_effects(prepared_matrix(t), driver(t), "level_log", screens.low_group())
     return rounded(out.select("feature", *EFFECT_INTS, "rank_sum_w", "rank_sum_z", "rank_sum_p"))
 
 
@@ -86,7 +87,7 @@ M150 = M.replace("p_brand AS feature", "p_brand || '|' || p_type AS feature")
      ["pearson_r", "delta_median", "rank_sum_p", "pearson_fdr", "rank_sum_fdr"]))
 def feature_screen_150(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    matrix = long_matrix(t, F.concat("p_brand", F.lit("|"), "p_type"))
+    matrix = materialize(long_matrix(t, F.concat("p_brand", F.lit("|"), "p_type")), "matrix")
     out = screens.feature_screen(matrix, driver(t), "level_log", screens.low_group())
     return rounded(out.select("feature", "n", *EFFECT_INTS, "rank", "eligible_n", "pearson_r", "delta_median", "rank_sum_p", "pearson_fdr", "rank_sum_fdr"))
 
@@ -148,14 +149,14 @@ def screen_group_counts(spark: SparkSession, folder: str) -> DataFrame:
    count(*) FILTER (WHERE rank_sum_fdr IS NULL AND rank < (SELECT rank FROM s WHERE feature = 'Brand#7')) AS n_untested_before FROM s""")
 def untested_rows(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    screen = screens.feature_screen(long_matrix(t), driver(t), "level_log", screens.low_group(cutoff=-0.25))
+    screen = screens.feature_screen(prepared_matrix(t), driver(t), "level_log", screens.low_group(cutoff=-0.25))
     return untested_before(screen, "rank_sum_fdr", "rank", "feature", "Brand#7")
 
 
 @add("spearman_by_feature", f"WITH {M}, {DRV}, {JOINED} " + final(correlation_sql("r", "feature", 3), ["feature"], ["n"], ["pearson_r", "pearson_p", "spearman_rho", "spearman_p"]))
 def spearman_by_feature(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    rows = long_matrix(t).join(driver(t), "entity")
+    rows = prepared_matrix(t).join(driver(t), "entity")
     return rounded(stats.pair_correlations(rows, ["feature"], "level_log", "value"))
 
 
@@ -167,14 +168,14 @@ COVARIATION = f"""WITH {M}, r AS (SELECT m.feature, d.value AS x, m.value AS y F
 
 @add("covariation", COVARIATION + final("SELECT * FROM f", ["feature"], ["n"], ["pearson_r", "pearson_p", "fdr"]))
 def covariation(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(screens.covariation(long_matrix(Tables(spark, folder)), "Brand#1"))
+    return rounded(screens.covariation(prepared_matrix(Tables(spark, folder)), "Brand#1"))
 
 
 @add("covariation_top", COVARIATION + final("""SELECT feature, pearson_r, CASE WHEN pearson_r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM f
    WHERE feature <> 'Brand#1' AND pearson_r <> 0 QUALIFY row_number() OVER (PARTITION BY pearson_r > 0 ORDER BY abs(pearson_r) DESC, feature) <= 5""",
    ["feature", "direction"], [], ["pearson_r"]))
 def covariation_top(spark: SparkSession, folder: str) -> DataFrame:
-    all_rows = screens.covariation(long_matrix(Tables(spark, folder)), "Brand#1")
+    all_rows = screens.covariation(prepared_matrix(Tables(spark, folder)), "Brand#1")
     return rounded(top_correlations(all_rows, "pearson_r", "feature", "Brand#1", 5, "positive", "negative").select("feature", "direction", "pearson_r"))
 
 
@@ -183,7 +184,7 @@ def covariation_top(spark: SparkSession, folder: str) -> DataFrame:
    + final("SELECT * FROM f", ["stratum", "feature"], [], ["p", "fdr"]))
 def bh_family(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    rows = long_matrix(t).join(driver(t), "entity").where("level_log is not null")
+    rows = prepared_matrix(t).join(driver(t), "entity").where("level_log is not null")
     effects = stats.group_effects(rows, ["stratum", "feature"], "value", {"low": stats.split(screens.low_group())})
     # bound 0 sends the families down the range-sliced path used for very large tables
     table = ResultTable(effects.select("stratum", "feature", F.col("rank_sum_p").alias("p")), ["feature"], ["stratum"], bound=0)
@@ -196,7 +197,7 @@ def bh_family(spark: SparkSession, folder: str) -> DataFrame:
      count(*) FILTER (WHERE delta_median <> 0) OVER (PARTITION BY stratum) AS n_ranked FROM e""", ["stratum", "feature"], ["n_ranked"], ["place"]))
 def eligible_rank(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    rows = long_matrix(t).join(driver(t), "entity").where("level_log is not null")
+    rows = prepared_matrix(t).join(driver(t), "entity").where("level_log is not null")
     effects = stats.group_effects(rows, ["stratum", "feature"], "value", {"low": stats.split(screens.low_group())})
     table = ResultTable(effects.select("stratum", "feature", "delta_median"), ["feature"], ["stratum"], bound=0)
     ranked = table.rank("place", [F.col("delta_median")], F.col("delta_median") != 0, "n_ranked").frame
@@ -269,7 +270,7 @@ def quantile_groups(spark: SparkSession, folder: str) -> DataFrame:
    "SELECT * FROM f JOIN kf USING (feature)", ["feature"], ["n", *EFFECT_INTS], ["quantile", "median_low", "median_other", "delta_median", "rank_sum_p", "rank_sum_fdr", "pearson_r", "spearman_rho", "pearson_fdr"]))
 def quantile_screen(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    out = screens.quantile_screen(long_matrix(t), driver(t), "level_log")
+    out = screens.quantile_screen(prepared_matrix(t), driver(t), "level_log")
     return rounded(out.select("feature", "n", *EFFECT_INTS, "quantile", "median_low", "median_other", "delta_median", "rank_sum_p", "rank_sum_fdr", "pearson_r", "spearman_rho", "pearson_fdr"))
 
 

@@ -164,3 +164,43 @@ def test_bootstrap_distribution_and_determinism(spark):
         part = pdf[pdf.s == r["s"]]
         delta = part.v[part.low].median() - part.v[~part.low].median()
         assert r["ci_low"] <= delta <= r["ci_high"]
+
+
+def test_hot_keys_give_the_same_results(spark, monkeypatch):
+    """The counted-cell path of hot keys agrees with the row-window path of cold ones."""
+    from assocgrid.operators import ordered
+
+    rng = np.random.default_rng(21)
+    keys = np.where(rng.random(4000) < 0.7, "hot", rng.choice(["c1", "c2"], 4000))
+    values = np.where(rng.random(4000) < 0.35, 0.0, (rng.normal(size=4000) * 50).round(1))
+    values[:5] = [np.nan, np.inf, -0.0, 0.0, 1e-300]
+    df = spark.createDataFrame(pd.DataFrame({"k": keys, "x": rng.normal(size=4000).round(2), "y": values}))
+
+    def results():
+        comparisons = {"a": split(F.col("x") < -0.2), "b": (F.col("x") < 0, F.col("x") > 1)}
+        effects = group_effects(df, ["k"], "y", comparisons, x="x", label="c", keep_empty=True)
+        return [
+            sorted(effects.collect()),
+            sorted(pair_correlations(df, ["k"], "x", "y").collect()),
+            sorted(exact_quantiles(df, ["k"], "y", {"q": 0.37, "low": 0.0, "high": 1.0}).collect()),
+        ]
+
+    cold = results()
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1000)
+    mixed = results()
+    for a, b in zip(sum(cold, []), sum(mixed, [])):
+        for name, u, v in zip(a.__fields__, a, b):
+            if isinstance(u, float):
+                assert math.isclose(u, v, rel_tol=1e-9, abs_tol=1e-12), (name, u, v)
+            else:
+                assert u == v, (name, u, v)
+
+
+def test_one_scan_without_hot_keys(spark, tmp_path):
+    """Rows are shuffled once by key, and the exchange of hot cells is shared by its branches."""
+    path = str(tmp_path / "m")
+    spark.range(2000).selectExpr("id % 7 AS k", "double(id % 5) AS x", "double(id * 37 % 101) AS y").write.parquet(path)
+    out = group_effects(spark.read.parquet(path), ["k"], "y", {"a": split(F.col("x") < 2)}, x="x")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(k") <= 2  # one for the size count, one for the rows
