@@ -59,6 +59,16 @@ def map_code(code: Column | str, mapping: Mapping[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), col(code))
 
 
+def unmapped_labels(df: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
+    """Known labels that a mapping(label, ...) table does not cover; they must be none."""
+    return df.where(F.col(label).isNotNull()).select(label).distinct().join(mapping.select(label), label, "left_anti")
+
+
+def iso_now() -> Column:
+    """Current time as ISO text with its zone offset."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def sample_type(code: Column | str) -> Column:
     return map_code(code, SAMPLE_TYPE_BY_CODE)
 

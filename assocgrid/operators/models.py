@@ -226,5 +226,5 @@ def pooled_model(df: DataFrame, x: str, y: str, stratum: str, min_n: int = 20, s
     short = (F.col("n") < min_n) | (F.col("n_strata") < 2) | ~F.col("x_varies") | ~F.col("y_varies")
     reason = F.when(short, f"Need N >= {min_n}, two strata and variable driver and outcome").when(F.col("aliased"), ALIAS_REASON).otherwise("")
     status = status.select("n", reason.alias("reason")).withColumn("eligible", F.col("reason") == "")
-    table = coefficients_from_sums(standardised_sums(sums) if standardised else sums)
+    table = coefficients_from_sums(materialize(standardised_sums(sums), "strata") if standardised else sums)
     return status, table.where(status.select("eligible").scalar()).withColumn("n", status.select("n").scalar())

@@ -25,6 +25,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def one_to_one_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a key may appear once on either side; a repeated key is an error."""
+    require_none(duplicate_keys(a, keys), "repeated keys on the first side")
+    require_none(duplicate_keys(b, keys), "repeated keys on the second side")
+    return a.join(b, list(keys), how)
+
+
 def bad_ids(df: DataFrame, column: str, pattern: str) -> DataFrame:
     text = F.col(column).cast("string")
     return df.where(text.isNull() | ~text.rlike(pattern)).select(column).distinct()

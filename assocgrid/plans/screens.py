@@ -18,7 +18,7 @@ from assocgrid.functions.states import LOW_CUTOFF, TIERS, mutation_group, prepar
 from assocgrid.operators.bootstrap import bootstrap_median_difference
 from assocgrid.operators.models import adjusted_screen, known_stratum
 from assocgrid.operators.ordered import exact_quantiles
-from assocgrid.operators.quality import duplicate_keys, require_none
+from assocgrid.operators.quality import duplicate_keys, one_to_one_join, recomputation_differences, require_none
 from assocgrid.operators.results import ResultTable, adjust_window
 from assocgrid.operators.stats import group_effects, pair_correlations, pearson, split
 from assocgrid.storage import materialize
@@ -224,6 +224,20 @@ def chained_correlations(driver: DataFrame, middle: DataFrame, target: DataFrame
     return pair_correlations(rows, ["analysis"], "x", "y")
 
 
+def representative_correlation(values: DataFrame, chosen: DataFrame, entity: str, value: str) -> DataFrame:
+    """Pooled correlation of an entity's value with that of its chosen representative."""
+    a = values.select(entity, F.col(value).alias("value_a"))
+    b = chosen.where("selected").select(entity, F.col(value).alias("value_b"))
+    return pair_correlations(one_to_one_join(a, b, [entity]), [], "value_a", "value_b")
+
+
+def target_row_differences(screen: DataFrame, targeted: DataFrame, feature: str) -> DataFrame:
+    """Columns in which a screen's row of the target and the pair's own statistics disagree."""
+    columns = ["rank_sum_p", "delta_median", "delta_mean"]
+    row = screen.where(F.col("feature") == feature).select("feature", *columns)
+    return recomputation_differences(row, targeted.withColumn("feature", F.lit(feature)), ["feature"], columns)
+
+
 def mutation_comparison(
     flags: DataFrame, target: DataFrame, definitions: Sequence[str], min_n: int = MIN_GROUP
 ) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from assocgrid.operators.results import (
     top_per_direction,
     untested_before,
 )
+from assocgrid.operators.select import pick_representatives
 from assocgrid.plans import screens
 from assocgrid.registry.base import (
     DRV,
@@ -284,6 +285,24 @@ def chained_correlations(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(screens.chained_correlations(driver(t), middle, target))
 
 
+@add("representative_correlation", """WITH rep AS (SELECT o_custkey AS entity, o_totalprice AS y FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderkey) = 1),
+   r AS (SELECT 1 AS k, c_acctbal AS x, y FROM customer JOIN rep ON entity = c_custkey) """ + final(correlation_sql("r", "k", 3), [], ["n"], CORR_COLUMNS))
+def representative_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    candidates = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("aliquot"), F.col("o_orderkey").alias("file_id"), F.col("o_totalprice").alias("value"))
+    wish = t.customer.select(F.col("c_custkey").alias("entity"), F.lit("F").alias("aliquot"))
+    chosen = pick_representatives(candidates, wish, "entity", "aliquot", "file_id")
+    values = t.customer.select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("value"))
+    return rounded(screens.representative_correlation(values, chosen, "entity", "value"))
+
+
+@add("target_row_differences", f"WITH {M} SELECT feature, 'none' AS \"column\" FROM m GROUP BY feature HAVING false")
+def target_row_differences(spark: SparkSession, folder: str) -> DataFrame:
+    # the screen's row of a target and the pair's own statistics must agree: no row
+    t = Tables(spark, folder)
+    return screens.target_row_differences(_screen(spark, folder), screens.targeted_statistics(_pair(t)), "Brand#7")
+
+
 # one flag per user and event type; users are matched to customers by key
 FLAGS = """fl AS (SELECT user_id AS entity, event_type AS definition, CASE WHEN avg(value) > 50 THEN 1.0 ELSE 0.0 END AS value FROM events GROUP BY 1, 2)"""
 WANTED = ["click", "error", "purchase", "view", "hotspot"]
