@@ -66,7 +66,7 @@ def _bounded_r_sql(sxy: str, sxx: str, syy: str, usable: str) -> str:
 
 
 def pair_correlations(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3, prefix: str = ""
+    df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3, prefix: str = "", sized: DataFrame | None = None
 ) -> DataFrame:
     """n, Pearson and Spearman with P per key; NULL below ``min_n`` or for a constant side.
 
@@ -75,7 +75,7 @@ def pair_correlations(
     rows, group = _grouped(finite_pairs(df, x, y), keys)
     names = [f"`{k}`" for k in group]
     rows = rows.selectExpr(*names, f"double(`{x}`) + 0.0D AS _x", f"double(`{y}`) + 0.0D AS _y")
-    cold, hot = split_by_size(rows, group)
+    cold, hot = split_by_size(rows, group, sized)
 
     # cold keys: both ranks from windows over the same partitioning, then built-in moments
     part = ", ".join(names)

@@ -128,12 +128,13 @@ def quantile_screen(matrix: DataFrame, driver: DataFrame, x: str, quantiles: Seq
     flags = cohort.withColumns(
         {f"_low{i}": F.col("_driver") <= cut.select(f"q{i}").scalar() for i in range(len(quantiles))}
     )
-    rows = _matched_cells(matrix, flags)
+    # one row per entity, written once: its cutoffs are not computed again by every pass
+    rows = _matched_cells(matrix, materialize(flags, "driver"))
     groups = group_effects(
         rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile", keep_empty=True, sized=matrix
     ).withColumn("quantile", F.col("quantile").cast("double"))
     table = ResultTable(groups, ["feature"], ["quantile"]).adjust("rank_sum_p", "rank_sum_fdr").frame
-    pairs = ResultTable(pair_correlations(rows, ["feature"], "_driver", "value"), ["feature"])
+    pairs = ResultTable(pair_correlations(rows, ["feature"], "_driver", "value", sized=matrix), ["feature"])
     return table.join(pairs.adjust("pearson_p", "pearson_fdr").frame, "feature", "left").fillna({"n": 0})
 
 
@@ -206,7 +207,7 @@ def threshold_sensitivity(pair: DataFrame, x: str, y: str, thresholds: Sequence[
 def quantile_groups(pair: DataFrame, x: str, y: str, quantiles: Sequence[float] = QUANTILES, min_n: int = MIN_GROUP) -> DataFrame:
     """The two-group effect below inclusive quantile cutoffs of the matched cohort."""
     rows = finite_pairs(pair, x, y)
-    cut = exact_quantiles(rows, [], x, {f"q{i}": q for i, q in enumerate(quantiles)})
+    cut = materialize(exact_quantiles(rows, [], x, {f"q{i}": q for i, q in enumerate(quantiles)}), "cutoffs")
     limits = {q: cut.select(f"q{i}").scalar() for i, q in enumerate(quantiles)}
     out = group_effects(rows, [], y, {str(q): split(F.col(x) <= limit) for q, limit in limits.items()}, min_n, label="quantile")
     cutoff = None
