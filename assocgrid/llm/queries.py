@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assocgrid.llm import mixing, orc_ids, packing, url_filter
+from assocgrid.llm import mixing, ngram_join, orc_ids, packing, url_filter
 from assocgrid.registry.base import Registry, Tables
 
 LLM = Registry()
@@ -68,3 +68,8 @@ def url_rules(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("op10_orc_ids")
 def orc_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return orc_ids.encode_corpus(spark, Tables(spark, folder).documents)
+
+
+@LLM.add("op3_order_join")
+def order_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.groups(spark, Tables(spark, folder).documents)
