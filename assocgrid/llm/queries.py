@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assocgrid.llm import mixing, ngram_join, orc_ids, packing, url_filter
+from assocgrid.llm import bitslice, mixing, ngram_join, orc_ids, packing, url_filter
 from assocgrid.registry.base import Registry, Tables
 
 LLM = Registry()
@@ -70,6 +70,18 @@ def orc_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return orc_ids.encode_corpus(spark, Tables(spark, folder).documents)
 
 
+@LLM.add(
+    "op2_bit_sliced_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return bitslice.top_k(spark, Tables(spark, folder).embeddings)
+
+
 @LLM.add("op3_order_join")
 def order_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.groups(spark, Tables(spark, folder).documents)
