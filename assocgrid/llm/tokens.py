@@ -1,9 +1,9 @@
 """Token ids of whole texts with the ``tokenizers`` library, chunk by chunk from a cache.
 
 A byte-level pre-tokenizer never joins a character other than a white space with a white space that
-follows it, so a text cut before every run of spaces and newlines encodes to the concatenation of
-its chunks. Each distinct chunk is encoded once per worker by the library; a text with other white
-space is encoded whole.
+follows it, nor a letter with a point or comma behind it, so a text cut there encodes to the
+concatenation of its chunks. Each distinct chunk is encoded once per worker by the library; a text
+with other white space is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,14 +11,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+CHUNK = re.compile(rf" ?[{LETTERS}]++(?=[.,])|[ \n]*[^ \n]+|[ \n]+")
+ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-CACHED_CHUNKS = 500_000  # of a worker; at the bound the cache starts anew
+CACHED_CHUNKS = 800_000  # of a worker; at the bound the cache starts anew
 END_ID = 0
 
 
@@ -26,68 +29,86 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Chunks(dict):
+    """Chunk -> number; chunks not met before are numbered and listed as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED_CHUNKS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.letters = byte_letters()
         self.cached = cached
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Chunks()
         self.first = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def learn(self, chunks: Sequence[str]) -> None:
-        """Number and encode chunks not seen so far; size -1 marks one with other white space."""
-        found = self.tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)
-        ids = [e.ids for e in found]
-        base, many = len(self.number), sum(map(len, ids))
-        self.first, self.size = _room(self.first, base + len(ids)), _room(self.size, base + len(ids))
-        self.flat = _room(self.flat, self.used + many)
-        for k, (chunk, own) in enumerate(zip(chunks, ids, strict=True), base):
-            self.number[chunk] = k
-            self.first[k], self.size[k] = self.used, -1 if OTHER_SPACE.search(chunk) else len(own)
-            self.flat[self.used : self.used + len(own)] = own
-            self.used += len(own)
+        self.known = self.used = 0
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        if ONE_WORD.fullmatch(chunk):  # one word is one run of the merges
+            return [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def learn(self, found: list[list[int]], odd: list[bool]) -> None:
+        """Add the ids of the next numbers; an odd chunk has size -1."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        end, used = self.known + len(found), self.used + int(sizes.sum())
+        self.first, self.size, self.flat = _room(self.first, end), _room(self.size, end), _room(self.flat, used)
+        self.first[self.known : end] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.known : end] = np.where(odd, -1, sizes)
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+        self.known, self.used = end, used
 
     def encode(self, texts: Sequence[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array and the n + 1 positions where the texts begin and end."""
-        per_text = [CHUNK.findall(t) for t in texts]
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if len(self.number) > self.cached:
             self.forget()
-        new = {c for chunks in per_text for c in chunks if c not in self.number}
-        if new:
-            self.learn(list(new))
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        number = self.number
-        codes = np.fromiter((number[c] for chunks in per_text for c in chunks), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(texts)), counts)
-        odd = np.unique(owner[self.size[codes] < 0])
-        if len(odd):
-            codes, owner = codes[~np.isin(owner, odd)], owner[~np.isin(owner, odd)]
+        lists = [CHUNK.findall(t) for t in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if new := self.number.new:
+            self.learn([self.chunk_ids(c) for c in new], [bool(OTHER_SPACE.search(c)) for c in new])
+            new.clear()
         sizes = self.size[codes]
-        lengths = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
-        whole = {int(i): self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in odd}
-        for i, ids in whole.items():
-            lengths[i] = len(ids)
-        tail = int(end is not None)
-        bounds = np.concatenate([[0], np.cumsum(lengths + tail)])
-        out = np.full(int(bounds[-1]), end or 0, np.uint32)
-        # where the ids of each chunk go: behind those of its text's earlier chunks
-        before = np.cumsum(sizes) - sizes
-        firsts = np.searchsorted(owner, np.arange(len(texts)))
-        text_before = before[np.minimum(firsts, max(len(before) - 1, 0))] if len(before) else np.zeros(len(texts), np.int64)
-        place = before - text_before[owner] + bounds[owner]
-        step = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
-        out[np.repeat(place, sizes) + step] = self.flat[np.repeat(self.first[codes], sizes) + step]
-        for i, ids in whole.items():
-            out[bounds[i] : bounds[i] + len(ids)] = ids
-        return out, bounds
+        owner = np.repeat(np.arange(len(texts)), counts)
+        odd = set(np.unique(owner[sizes < 0]).tolist())
+        held = np.bincount(owner, weights=np.maximum(sizes, 0), minlength=len(texts)).astype(np.int64)
+        tail = [] if end is None else [np.array([end], np.uint32)]
+        parts = []
+        for k, own in enumerate(np.split(self.ids(codes, sizes), np.cumsum(held)[:-1])):
+            if k in odd:  # the library cuts the whole text
+                own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            parts += [own, *tail]
+            held[k] = len(own) + len(tail)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(held)])
+
+    def ids(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        held = np.maximum(sizes, 0)
+        before = np.cumsum(held) - held
+        return self.flat[np.repeat(self.first[codes] - before, held) + np.arange(int(held.sum()))]
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
