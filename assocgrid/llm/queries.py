@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assocgrid.llm import bitslice, mixing, ngram_join, orc_ids, packing, url_filter
+from assocgrid.llm import bitslice, factor_machine, line_dedup, mixing, ngram_join, orc_ids, packing, quality_rules, toxicity, url_filter
 from assocgrid.registry.base import Registry, Tables
 
 LLM = Registry()
@@ -85,3 +85,27 @@ def bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("op3_order_join")
 def order_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.groups(spark, Tables(spark, folder).documents)
+
+
+@LLM.add("op6_compression_toxicity")
+def compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return toxicity.judged(t.documents, t.labels)
+
+
+@LLM.add("op7_decision_list")
+def decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return quality_rules.judged(t.documents, t.labels)
+
+
+@LLM.add("op9_factor_machine")
+def factor_machine_quality(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return factor_machine.judged(t.documents, t.labels)
+
+
+@LLM.add("op4_fuzzy_lines")
+def fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = Tables(spark, folder).documents.select("doc_id", "text")
+    return line_dedup.without_repeats(spark, docs).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
