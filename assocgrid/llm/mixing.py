@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, in the columns of ``docs``."""
-    plan = mix(docs, weights, share, max_repeats, seed).filter(F.col("repeats") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "repeats").distinct()
+    taken = mix(docs, weights, share, max_repeats, seed).filter(F.col("taken") > 0)
+    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("repeats").alias("_repeats")).distinct()
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_of"))
-    counted = docs.join(plan.withColumnRenamed("repeats", "_repeats"), on)
+    counted = docs.join(plan, on)
     return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
