@@ -78,8 +78,9 @@ def sample_kind_from_code(code: Column | str) -> Column:
 
 
 def mutation_group(value: Column | str) -> Column:
-    """Mutant above zero, WT at zero; an unknown value stays unknown."""
-    return F.when(is_finite(value), F.when(col(value) > 0, "Mutant").otherwise("WT"))
+    """Mutant above zero, WT at zero; an unknown value stays unknown, a negative one is an error."""
+    wrong = F.raise_error(F.concat(F.lit("negative mutation indicator: "), col(value).cast("string"))).cast("string")
+    return F.when(is_finite(value), F.when(col(value) > 0, "Mutant").when(col(value) < 0, wrong).otherwise("WT"))
 
 
 def on_autosome(chromosome: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import is_finite
 from assocgrid.functions.states import STATES, TUMOUR_TYPES, relative_change, state_code, state_name
-from assocgrid.operators.ordered import exact_quantiles
+from assocgrid.operators.ordered import exact_quantiles, null_safe_join
 from assocgrid.operators.results import ResultTable
 
 
@@ -96,7 +96,7 @@ def landscape(df: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
     """Rows, finite values and median per stratum (and any other grouping column)."""
     counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(is_finite(value)).alias("n_finite"))
     medians = exact_quantiles(df, strata, value, {"median": 0.5}).drop("n")
-    return counts.join(medians, list(strata), "left")
+    return null_safe_join(counts, medians, strata, "left")
 
 
 def feature_cohort(

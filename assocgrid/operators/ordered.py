@@ -2,53 +2,67 @@
 
 Keys are divided by their number of rows, counted in one cheap pass:
 
-* cold keys (up to ``HOT_ROWS`` rows) are sorted and windowed as a whole, one shuffle;
-* hot keys first collapse equal values to one counted row, a cell (so a value shared by a
-  third of all rows costs one row per map task), then their cells are windowed inside
-  (key, code), where the code is a monotone function of the value with 4096 steps per
-  factor of two, and shifted by the running totals of the codes before.
-
-There are at most (number of rows) / ``HOT_ROWS`` hot keys, so their list is small enough to
-broadcast for any input.  The code depends on the value alone: a recomputed task always
-gives the same cut.  Without hot keys adaptive execution drops the hot branch.
+* keys of up to ``SLICE_ROWS`` rows are sorted and windowed as a whole, one shuffle;
+* larger keys first collapse equal values to one counted row, a cell (so a value shared by a
+  third of all rows costs one row per map task). Their cells are cut into ``SLICES`` slices at
+  approximate quantiles of the key's own values, windowed inside a slice, and shifted by the
+  running totals of the slices before. Values close together are cut like any others.
+
+Both give the same exact result. The larger keys and their cut points are written first: the
+planner knows their size and decides how to join them. NULL keys are keys like any others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import is_finite
+from assocgrid.storage import materialize
 
-# rows up to which one task orders a group as a whole
-HOT_ROWS = 4_000_000
-STEPS_PER_OCTAVE = 4096
-# log2 of the smallest positive double is -1074; the shift keeps codes of positive values positive
-CODE_SHIFT = 1100
+# rows that one task orders as a whole
+SLICE_ROWS = 1_000_000
+SLICES = 256
+ACCURACY = 4096
 
 
-def order_code_sql(value: str) -> str:
-    """Monotone long code of a finite double: v1 < v2 implies code(v1) <= code(v2)."""
-    size = f"floor((log2(abs({value})) + {CODE_SHIFT}) * {STEPS_PER_OCTAVE})"
-    # coalesce makes the code non-nullable, so no null check separates otherwise equal plans
-    return f"coalesce(CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} END, 0L)"
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match; the key columns are those of ``left``."""
+    there = right.withColumnsRenamed({k: f"_there_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_there_{k}`")) for k in keys]
+    joined = left.join(there, reduce(Column.__and__, same), how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_there_{k}" for k in keys])
 
 
-def split_by_size(rows: DataFrame, keys: Sequence[str], sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows of cold keys, rows of hot keys).
+def sliced(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``_code``, the slice of its key's values that a row falls into.
+
+    Equal values share a slice, larger values never have a lower one.
+    """
+    at = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, at, ACCURACY)).alias("_cuts"))
+    placed = null_safe_join(rows, materialize(cuts, "cuts"), keys)
+    return placed.withColumn("_code", F.expr(f"coalesce(size(filter(_cuts, c -> c < {value})), 0)")).drop("_cuts")
+
+
+def split_by_size(rows: DataFrame, keys: Sequence[str], sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small keys, rows of large keys, None without such a key).
 
     ``sized`` is a frame with the keys of at least all rows to count instead, such as the
     matrix before a join; counting it reads only the key columns.
     """
     sizes = (rows if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(sizes.where(f"_rows > {HOT_ROWS}").select(*keys))
-    return rows.join(hot, list(keys), "left_anti"), rows.join(hot, list(keys), "left_semi")
+    large = materialize(sizes.where(f"_rows > {SLICE_ROWS}").select(*keys), "large-keys")
+    if large.isEmpty():
+        return rows, None
+    return null_safe_join(rows, large, keys, "left_anti"), null_safe_join(rows, large, keys, "left_semi")
 
 
 def ordered_rows(rows: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, str]) -> DataFrame:
-    """Rows of cold keys with, for each counted condition, their place in the sorted key.
+    """Rows of small keys with, for each counted condition, their place in the sorted key.
 
     ``counts`` name -> SQL condition; gives ``name`` (0 or 1), ``name_cell`` (rows of equal
     value), ``name_before`` (rows of smaller value) and ``name_total``.
@@ -79,7 +93,7 @@ def ordered_cells(
     ``totals``  name -> SQL aggregate over the cells of one group, payload in braces;
                 names starting with ``min_`` or ``max_`` merge that way, others by sum.
 
-    The cells feed two branches (places inside a code, totals per code).  Column pruning
+    The cells feed two branches (places inside a slice, totals per slice).  Column pruning
     would leave them with different columns, and the cells would be scanned and shuffled
     twice; so the payload travels as one array and both branches read every column, which
     lets them share one exchange.
@@ -89,7 +103,7 @@ def ordered_cells(
     if payload:
         packed = ", ".join(f"double({aggregate})" for aggregate in payload.values())
         aggregates.append(F.expr(f"array({packed}) AS _pack"))
-    cells = rows.groupBy(*keys, value).agg(*aggregates).withColumn("_code", F.expr(order_code_sql(value)))
+    cells = sliced(rows, keys, value).groupBy(*keys, value, "_code").agg(*aggregates)
     columns = ", ".join([value, *counts, *(["_pack"] if payload else [])])
     place = {name: f"_pack[{i}]" for i, name in enumerate(payload)}
     group = ", ".join(f"`{k}`" for k in keys)
@@ -113,7 +127,7 @@ def ordered_cells(
         *[f"sum({n}) OVER (PARTITION BY {group}) AS {n}_total" for n in counts],
         *[f"{_merge(name)}({name}) OVER (PARTITION BY {group}) AS {name}" for name in totals],
     )
-    return placed.join(offsets, [*keys, "_code"]).selectExpr(
+    return null_safe_join(placed, offsets, [*keys, "_code"]).selectExpr(
         *names,
         value,
         *counts,
@@ -149,10 +163,11 @@ def exact_quantiles(
     """Exact quantiles of the finite values per group; groups may be of any size."""
     rows, group = _grouped(df.where(is_finite(value)), keys)
     rows = rows.selectExpr(*[f"`{k}`" for k in group], f"double(`{value}`) + 0.0D AS _v")
-    cold, hot = split_by_size(rows, group)
+    small, large = split_by_size(rows, group)
     sums = [F.max("_n_total").alias("n"), *[F.expr(f"{quantile_sql('_v', '_n', q)} AS {name}") for name, q in quantiles.items()]]
-    parts = [ordered_rows(cold, group, "_v", {"_n": "true"}), ordered_cells(hot, group, "_v", {"_n": "true"})]
-    out = parts[0].groupBy(*group).agg(*sums).unionByName(parts[1].groupBy(*group).agg(*sums))
+    out = ordered_rows(small, group, "_v", {"_n": "true"}).groupBy(*group).agg(*sums)
+    if large is not None:
+        out = out.unionByName(ordered_cells(large, group, "_v", {"_n": "true"}).groupBy(*group).agg(*sums))
     return out if keys else out.drop("_all")
 
 

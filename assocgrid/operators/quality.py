@@ -67,10 +67,10 @@ def field_changes(now: DataFrame, saved: DataFrame, key: str, fields: Sequence[s
 
 
 def inconsistent_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows in which two columns that must agree are both known and differ."""
+    """Rows in which two columns that must agree differ; NULL agrees with NULL only."""
     bad = F.lit(False)
     for a, b in pairs:
-        bad = bad | F.coalesce(F.col(a) != F.col(b), F.lit(False))
+        bad = bad | ~F.col(a).eqNullSafe(F.col(b))
     return df.where(bad)
 
 
@@ -123,10 +123,11 @@ def metadata_overlap(matrix: DataFrame, meta: DataFrame, key: str) -> DataFrame:
 
 
 def close(a: Column | str, b: Column | str, rtol: float) -> Column:
-    """Equal NULLs, or within a relative tolerance; a tiny P never equals zero."""
+    """Equal (NULLs and infinities included), or both finite and within a relative tolerance; a tiny P never equals zero."""
     x, y = col(a), col(b)
-    within = F.abs(x - y) <= rtol * F.greatest(F.abs(x), F.abs(y))
-    return (x.isNull() & y.isNull()) | F.coalesce(within, F.lit(False))
+    size = F.greatest(F.abs(x), F.abs(y))
+    within = (size < float("inf")) & (F.abs(x - y) <= rtol * size)
+    return x.eqNullSafe(y) | F.coalesce(within, F.lit(False))
 
 
 def recomputation_differences(stored: DataFrame, again: DataFrame, keys: Sequence[str], columns: Sequence[str], rtol: float = 1e-9) -> DataFrame:
@@ -176,8 +177,8 @@ def percentage_problems(shares: DataFrame, stratum: str, tolerance: float = 1e-9
 
 
 def uncovered_entities(matrix: DataFrame, meta: DataFrame, key: str, exempt: Column, group: str) -> DataFrame:
-    """Matrix entities without metadata per group, exempt ones (controls) left out."""
-    missing = matrix.where(~exempt).select(key, group).distinct().join(meta.select(key).distinct(), key, "left_anti")
+    """Matrix entities without metadata per group; only those known to be exempt (controls) are left out."""
+    missing = matrix.where(~F.coalesce(exempt, F.lit(False))).select(key, group).distinct().join(meta.select(key).distinct(), key, "left_anti")
     return missing.groupBy(group).agg(F.count(F.lit(1)).alias("n_missing"))
 
 
@@ -203,10 +204,9 @@ def rank_problems(df: DataFrame, rank: str) -> DataFrame:
 
 
 def file_mapping_issues(files: DataFrame, file: str, entity: str, access: str, state: str) -> DataFrame:
-    """Files that map to no or several entities, or are not open and released."""
-    facts = files.groupBy(file).agg(
-        F.count_distinct(entity).alias("n_entities"), F.min((F.col(access) == "open") & (F.col(state) == "released")).alias("usable")
-    )
+    """Files that map to no or several entities, or are not known to be open and released."""
+    released = F.coalesce((F.col(access) == "open") & (F.col(state) == "released"), F.lit(False))
+    facts = files.groupBy(file).agg(F.count_distinct(entity).alias("n_entities"), F.min(released).alias("usable"))
     return facts.where((F.col("n_entities") != 1) | ~F.col("usable"))
 
 

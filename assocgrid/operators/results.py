@@ -1,9 +1,8 @@
 """Multiple-testing adjustment and ranks over result tables (one row per test).
 
-A result table is written once; its row count then decides how it is ordered.  Up to
-``bound`` rows a plain window per family sorts it in one task.  A larger table is cut into
-range slices of the full sort key, whose positions are stored with the rows, and only
-one summary row per slice goes through a window.  Both ways give the same result.
+A result table is cut into range slices of the full sort key, whose positions are stored with
+the rows; only one summary row per slice goes through a window.  NULL families are families
+like any others.
 """
 
 from __future__ import annotations
@@ -14,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import is_finite
+from assocgrid.operators.ordered import null_safe_join
 from assocgrid.storage import materialize
 
-WINDOW_ROWS = 1_000_000
-
 
 def adjust_window(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg in one task per family: for families whose size is known to be small."""
@@ -35,27 +33,16 @@ def adjust_window(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -
 class ResultTable:
     """A written result table with family-wise adjustments and ranks added to it."""
 
-    def __init__(self, df: DataFrame, key: Sequence[str], family: Sequence[str] = (), bound: int = WINDOW_ROWS):
+    def __init__(self, df: DataFrame, key: Sequence[str], family: Sequence[str] = ()):
         self.family = list(family)
         self.key = list(key)
         self.frame = materialize(df, "results")
-        self.small = self.frame.limit(bound + 1).count() <= bound
 
     # ---- Benjamini-Hochberg ----
 
     def adjust(self, p: str, out: str) -> ResultTable:
         """Benjamini-Hochberg over the tested rows of each family; untested rows stay NULL."""
         value = F.when(is_finite(p), F.col(p))
-        if self.small:
-            self._adjust_window(value, out)
-        else:
-            self._adjust_slices(value, out)
-        return self
-
-    def _adjust_window(self, value: Column, out: str) -> None:
-        self.frame = adjust_window(self.frame.withColumn("_tested", value), "_tested", out, self.family).drop("_tested")
-
-    def _adjust_slices(self, value: Column, out: str) -> None:
         df, slices = self._slices(self.frame.withColumn("_p", value), [F.col("_p").asc_nulls_last()])
         family = self.family
         tested = df.groupBy(*family).agg(F.count("_p").alias("_m")) if family else df.agg(F.count("_p").alias("_m"))
@@ -74,6 +61,7 @@ class ResultTable:
         adjusted = F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_later"))
         df = df.withColumn(out, F.when(F.col("_p").isNotNull(), adjusted))
         self.frame = df.drop("_p", "_m", "_raw", "_slice", "_seq", "_first", "_before", "_later")
+        return self
 
     # ---- ranks ----
 
@@ -85,19 +73,13 @@ class ResultTable:
         passing = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
         df = self.frame.withColumn("_ok", passing)
         order = [F.col("_ok").desc(), *order, *[F.col(k).asc_nulls_first() for k in self.key]]
-        if self.small:
-            df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.family).orderBy(*order)))
-            if total:
-                df = df.withColumn(total, F.count_if("_ok").over(Window.partitionBy(*self.family)))
-        else:
-            placed, slices = self._slices(df, order)
-            family = self.family
-            df = self._join(placed, slices, [*family, "_slice"])
-            df = df.withColumn("_rank", F.col("_seq") - F.col("_first") + F.col("_before") + 1)
-            df = df.drop("_slice", "_seq", "_first", "_before")
-            if total:
-                counted = placed.groupBy(*family).agg(F.count_if("_ok").alias(total))
-                df = self._join(df, counted, family)
+        placed, slices = self._slices(df, order)
+        df = self._join(placed, slices, [*self.family, "_slice"])
+        df = df.withColumn("_rank", F.col("_seq") - F.col("_first") + F.col("_before") + 1)
+        df = df.drop("_slice", "_seq", "_first", "_before")
+        if total:
+            counted = placed.groupBy(*self.family).agg(F.count_if("_ok").alias(total))
+            df = self._join(df, counted, self.family)
         self.frame = df.withColumn(out, F.when(F.col("_ok"), F.col("_rank").cast("long"))).drop("_ok", "_rank")
         return self
 
@@ -106,7 +88,7 @@ class ResultTable:
     @staticmethod
     def _join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
         if keys:
-            return df.join(other, list(keys))
+            return null_safe_join(df, other, keys)
         column = other.columns[0]
         return df.withColumn(column, other.select(column).scalar())
 

@@ -146,7 +146,7 @@ def latest_release(df: DataFrame, release: str, pattern: str = r"^Public (\d{2})
     """One row: the newest release by (year, quarter, revision); names off the pattern are ignored."""
     parts = [F.regexp_extract(release, pattern, i) for i in (1, 2, 3)]
     number = F.struct(parts[0].cast("int"), parts[1].cast("int"), F.when(parts[2] == "", 1).otherwise(parts[2].try_cast("int")))
-    return df.where(F.col(release).rlike(pattern)).agg(F.max_by(release, number).alias("latest"))
+    return df.where(F.col(release).rlike(pattern)).agg(F.max_by(release, F.struct(number, F.col(release))).alias("latest"))
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, entity: str, names: tuple[str, str] = ("primary", "fallback")) -> DataFrame:

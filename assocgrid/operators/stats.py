@@ -18,6 +18,7 @@ from assocgrid.operators.ordered import (
     _grouped,
     average_ranks,
     exact_quantiles,
+    null_safe_join,
     ordered_cells,
     ordered_rows,
     quantile_sql,
@@ -65,6 +66,41 @@ def _bounded_r_sql(sxy: str, sxx: str, syy: str, usable: str) -> str:
     return f"CASE WHEN {usable} THEN CASE WHEN abs({r}) > 1 - 1e-14D THEN signum({r}) ELSE {r} END END"
 
 
+def _large_moments(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Moments of pairs and of their ranks for keys of any size.
+
+    y is ranked first; the cells of x then carry the mean and spread of y and of its rank.
+    """
+    ranked = null_safe_join(rows, average_ranks(rows, group, "_y", "_ry"), [*group, "_y"])
+    cells = ordered_cells(
+        ranked,
+        group,
+        "_x",
+        {"_n": "true"},
+        {**_moment_payload("_y", "y_"), **_moment_payload("_ry", "r_")},
+        {
+            "x_sum": "sum(_n * _x)",
+            "min_x": "min(_x)",
+            "max_x": "max(_x)",
+            **_moment_totals("y_", "_n"),
+            **_moment_totals("r_", "_n"),
+        },
+    )
+    dx, drx = "(_x - x_sum / _n_total)", "(_n_before + (_n + 1) / 2 - (_n_total + 1) / 2)"
+    dy, dry = "(y_mean - y_sum / _n_total)", "(r_mean - r_sum / _n_total)"
+    sums = {
+        "n": "max(_n_total)",
+        "sxy": f"sum(_n * {dx} * {dy})",
+        "sxx": f"sum(_n * {dx} * {dx})",
+        "syy": f"sum(_n * {dy} * {dy}) + max(y_m2_sum)",
+        "rxy": f"sum(_n * {drx} * {dry})",
+        "rxx": f"sum(_n * {drx} * {drx})",
+        "ryy": f"sum(_n * {dry} * {dry}) + max(r_m2_sum)",
+        "varies": "max(min_x) < max(max_x) AND max(min_y_) < max(max_y_)",
+    }
+    return cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+
+
 def pair_correlations(
     df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3, prefix: str = "", sized: DataFrame | None = None
 ) -> DataFrame:
@@ -75,16 +111,16 @@ def pair_correlations(
     rows, group = _grouped(finite_pairs(df, x, y), keys)
     names = [f"`{k}`" for k in group]
     rows = rows.selectExpr(*names, f"double(`{x}`) + 0.0D AS _x", f"double(`{y}`) + 0.0D AS _y")
-    cold, hot = split_by_size(rows, group, sized)
+    small, large = split_by_size(rows, group, sized)
 
-    # cold keys: both ranks from windows over the same partitioning, then built-in moments
+    # small keys: both ranks from windows over the same partitioning, then built-in moments
     part = ", ".join(names)
 
     def rank(v: str) -> str:
         upto = f"count(*) OVER (PARTITION BY {part} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         return f"(rank() OVER (PARTITION BY {part} ORDER BY {v}) + {upto}) / 2"
 
-    ranked = cold.selectExpr("*", f"{rank('_y')} AS _ry").selectExpr("*", f"{rank('_x')} AS _rx")
+    ranked = small.selectExpr("*", f"{rank('_y')} AS _ry").selectExpr("*", f"{rank('_x')} AS _rx")
     moments = {
         "n": "count(*)",
         "sxy": "covar_pop(_x, _y)",
@@ -97,35 +133,8 @@ def pair_correlations(
     }
     out = ranked.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in moments.items()])
 
-    # hot keys: y is ranked first; the cells of x then carry the mean and spread of y and its rank
-    ranked = hot.join(average_ranks(hot, group, "_y", "_ry"), [*group, "_y"])
-    cells = ordered_cells(
-        ranked,
-        group,
-        "_x",
-        {"_n": "true"},
-        {**_moment_payload("_y", "y_"), **_moment_payload("_ry", "r_")},
-        {
-            "x_sum": "sum(_n * _x)",
-            "min_x": "min(_x)",
-            "max_x": "max(_x)",
-            **_moment_totals("y_", "_n"),
-            **_moment_totals("r_", "_n"),
-        },
-    )
-    dx, drx = "(_x - x_sum / _n_total)", "(_n_before + (_n + 1) / 2 - (_n_total + 1) / 2)"
-    dy, dry = "(y_mean - y_sum / _n_total)", "(r_mean - r_sum / _n_total)"
-    sums = {
-        "n": "max(_n_total)",
-        "sxy": f"sum(_n * {dx} * {dy})",
-        "sxx": f"sum(_n * {dx} * {dx})",
-        "syy": f"sum(_n * {dy} * {dy}) + max(y_m2_sum)",
-        "rxy": f"sum(_n * {drx} * {dry})",
-        "rxx": f"sum(_n * {drx} * {drx})",
-        "ryy": f"sum(_n * {dry} * {dry}) + max(r_m2_sum)",
-        "varies": "max(min_x) < max(max_x) AND max(min_y_) < max(max_y_)",
-    }
-    out = out.unionByName(cells.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()]))
+    if large is not None:
+        out = out.unionByName(_large_moments(large, group))
     usable = f"n >= {min_n} AND varies"
     out = out.selectExpr(
         *names,
@@ -263,10 +272,11 @@ def group_effects(
             "syy": f"sum(x_n * {dy} * {dy})",
             "varies": "max(min_x_) < max(max_x_) AND max(min_y) < max(max_y)",
         }
-    cold, hot = split_by_size(rows, group, sized)
-    by_row, by_cell = ordered_rows(cold, group, "_v", counts), ordered_cells(hot, group, "_v", counts, payload, totals)
-    wide = by_row.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**row_moments, **sums}.items()])
-    wide = wide.unionByName(by_cell.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**cell_moments, **sums}.items()]))
+    small, large = split_by_size(rows, group, sized)
+    wide = ordered_rows(small, group, "_v", counts).groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**row_moments, **sums}.items()])
+    if large is not None:
+        by_cell = ordered_cells(large, group, "_v", counts, payload, totals)
+        wide = wide.unionByName(by_cell.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in {**cell_moments, **sums}.items()]))
 
     entries = ", ".join(
         f"struct('{c}' AS comparison, {a}_n AS n_low, {b}_n AS n_other, {a}_sum AS s1, {b}_sum AS s2, "
@@ -332,7 +342,7 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sd"),
     )
-    out = exact_quantiles(rows, group, value, {"median": 0.5}).join(moments, group)
+    out = null_safe_join(exact_quantiles(rows, group, value, {"median": 0.5}), moments, group)
     out = out.select(*group, "n", "mean", "median", "sd")
     return out if keys else out.drop("_all")
 

@@ -65,7 +65,8 @@ def manifest_summary(manifest: DataFrame, kind: str = "kind", status: str = "sta
 
 
 def outstanding(manifest: DataFrame, done: Sequence[str] = ("verified", "complete")) -> DataFrame:
-    return manifest.where(~F.col("status").isin(*done))
+    """Entries not known to be done; an unknown status is outstanding."""
+    return manifest.where(~F.coalesce(F.col("status").isin(*done), F.lit(False)))
 
 
 def stale_tables(saved: DataFrame, current: DataFrame, version: str) -> DataFrame:
@@ -73,11 +74,11 @@ def stale_tables(saved: DataFrame, current: DataFrame, version: str) -> DataFram
 
     ``saved(table, input, size, modified, version)``; ``current(input, size, modified)``.
     """
-    now = current.select("input", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    now = current.select("input", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.lit(True).alias("_there"))
     joined = saved.join(now, "input", "left")
     reason = (
-        F.when(F.col("version") != version, "algorithm version changed")
-        .when(F.col("_size").isNull(), "input missing")
-        .when((F.col("_size") != F.col("size")) | (F.col("_modified") != F.col("modified")), "input changed")
+        F.when(~F.col("version").eqNullSafe(F.lit(version)), "algorithm version changed")
+        .when(F.col("_there").isNull(), "input missing")
+        .when(~F.col("_size").eqNullSafe(F.col("size")) | ~F.col("_modified").eqNullSafe(F.col("modified")), "input changed")
     )
     return joined.withColumn("reason", reason).where("reason is not null").select("table", "input", "reason")

@@ -20,6 +20,7 @@ from assocgrid.operators.models import adjusted_screen, known_stratum
 from assocgrid.operators.ordered import exact_quantiles
 from assocgrid.operators.quality import duplicate_keys, one_to_one_join, recomputation_differences, require_none
 from assocgrid.operators.results import ResultTable, adjust_window
+from assocgrid.operators.select import first_per_key
 from assocgrid.operators.stats import group_effects, pair_correlations, pearson, split
 from assocgrid.storage import materialize
 
@@ -40,12 +41,23 @@ SCREEN_SCHEMA = (
 # ---- feature-wide screens -----------------------------------------------------------
 
 
-def feature_effects(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP) -> DataFrame:
+def one_per_entity(driver: DataFrame, order: Sequence[str] | None) -> DataFrame:
+    """The first row of each entity by ``order``; without an order a repeated entity is an error."""
+    if order:
+        return materialize(first_per_key(driver, ["entity"], list(order)), "driver")
+    require_none(duplicate_keys(driver, ["entity"]), "repeated driver entities")
+    return driver
+
+
+def feature_effects(
+    matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP, order: Sequence[str] | None = None
+) -> DataFrame:
     """Correlation and two-group effect of every feature against the driver (no families).
 
-    Features without any usable cell stay in the result, untested.
+    Features without any usable cell stay in the result, untested. Of repeated driver entities
+    the first by ``order`` counts.
     """
-    groups = driver.where(is_finite(x)).select("entity", F.col(x).alias("_driver"), low.alias("_low"))
+    groups = one_per_entity(driver, order).where(is_finite(x)).select("entity", F.col(x).alias("_driver"), low.alias("_low"))
     rows = _matched_cells(matrix, groups).select("feature", "value", "_driver", "_low")
     return group_effects(
         rows, ["feature"], "value", {"low": split(F.col("_low"))}, min_n=min_n, x="_driver", gate_effects=True, keep_empty=True, sized=matrix
@@ -59,13 +71,15 @@ def _matched_cells(matrix: DataFrame, driver: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.when(F.col("_driver").isNotNull(), F.col("value")))
 
 
-def feature_screen(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP) -> DataFrame:
+def feature_screen(
+    matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP, order: Sequence[str] | None = None
+) -> DataFrame:
     """The full screen: effects, two adjusted families, all-rows rank and eligible rank.
 
     ``rank`` orders untested rows first, as the published tables do; ``eligible_rank``
     numbers only rows with a finite adjusted P and effect.
     """
-    table = ResultTable(feature_effects(matrix, driver, x, low, min_n), ["feature"])
+    table = ResultTable(feature_effects(matrix, driver, x, low, min_n, order), ["feature"])
     table.adjust("pearson_p", "pearson_fdr").adjust("rank_sum_p", "rank_sum_fdr")
     return with_ranks(table).select(*[field.split()[0] for field in SCREEN_SCHEMA.split(", ")])
 
@@ -91,10 +105,10 @@ def screen_status(matrix: DataFrame, driver: DataFrame, x: str, low: Column, min
 
 
 def strict_alignment(matrix: DataFrame, meta: DataFrame) -> DataFrame:
-    """Cells joined to metadata; repeated cells or metadata rows are an error, unmatched ones drop out."""
+    """Cells with their metadata; repeated cells or metadata rows are an error, unmatched cells have none."""
     require_none(duplicate_keys(matrix, ["entity", "feature"]), "repeated matrix cells")
     require_none(duplicate_keys(meta, ["entity"]), "repeated metadata rows")
-    return matrix.join(meta, "entity")
+    return matrix.join(meta, "entity", "left")
 
 
 def gated_screen(
@@ -129,7 +143,8 @@ def quantile_screen(matrix: DataFrame, driver: DataFrame, x: str, quantiles: Seq
         {f"_low{i}": F.col("_driver") <= cut.select(f"q{i}").scalar() for i in range(len(quantiles))}
     )
     # one row per entity, written once: its cutoffs are not computed again by every pass
-    rows = _matched_cells(matrix, materialize(flags, "driver"))
+    rows = strict_alignment(matrix, materialize(flags, "driver"))
+    rows = rows.withColumn("value", F.when(F.col("_driver").isNotNull(), F.col("value")))
     groups = group_effects(
         rows, ["feature"], "value", {str(q): split(F.col(f"_low{i}")) for i, q in enumerate(quantiles)}, label="quantile", keep_empty=True, sized=matrix
     ).withColumn("quantile", F.col("quantile").cast("double"))
@@ -141,7 +156,7 @@ def quantile_screen(matrix: DataFrame, driver: DataFrame, x: str, quantiles: Seq
 def ranked_adjusted_screen(matrix: DataFrame, driver: DataFrame, x: str, stratum: str, low: Column) -> DataFrame:
     """Stratum-adjusted screen with two families and a rank by adjusted P, slope and name."""
     meta = driver.select("entity", F.col(x).alias("_driver"), F.col(stratum).alias("_stratum"), low.alias("_low"))
-    rows = matrix.join(meta, "entity", "left")
+    rows = strict_alignment(matrix, meta)
     screen = adjusted_screen(rows, "feature", "value", "_driver", "_stratum", F.col("_low"))
     table = ResultTable(screen, ["feature"]).adjust("p_driver", "fdr_driver").adjust("p_low", "fdr_low")
     table.rank("eligible_rank", [F.col("fdr_driver"), F.col("beta_driver")], F.col("fdr_driver").isNotNull(), "eligible_n")
@@ -158,7 +173,7 @@ def matched_pair(driver: DataFrame, target: DataFrame, level: str = "level", val
     """
     d = driver.select("entity", F.col(level).alias("level"))
     t = target.select("entity", F.col(value).alias("target"))
-    pair = prepare_driver(finite_pairs(d.join(t, "entity"), "level", "target"), "level").where(is_finite("level_log"))
+    pair = prepare_driver(finite_pairs(one_to_one_join(d, t, ["entity"]), "level", "target"), "level").where(is_finite("level_log"))
     return materialize(pair, "pair")
 
 

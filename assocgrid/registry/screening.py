@@ -187,8 +187,7 @@ def bh_family(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     rows = prepared_matrix(t).join(driver(t), "entity").where("level_log is not null")
     effects = stats.group_effects(rows, ["stratum", "feature"], "value", {"low": stats.split(screens.low_group())})
-    # bound 0 sends the families down the range-sliced path used for very large tables
-    table = ResultTable(effects.select("stratum", "feature", F.col("rank_sum_p").alias("p")), ["feature"], ["stratum"], bound=0)
+    table = ResultTable(effects.select("stratum", "feature", F.col("rank_sum_p").alias("p")), ["feature"], ["stratum"])
     return rounded(table.adjust("p", "fdr").frame)
 
 
@@ -200,7 +199,7 @@ def eligible_rank(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     rows = prepared_matrix(t).join(driver(t), "entity").where("level_log is not null")
     effects = stats.group_effects(rows, ["stratum", "feature"], "value", {"low": stats.split(screens.low_group())})
-    table = ResultTable(effects.select("stratum", "feature", "delta_median"), ["feature"], ["stratum"], bound=0)
+    table = ResultTable(effects.select("stratum", "feature", "delta_median"), ["feature"], ["stratum"])
     ranked = table.rank("place", [F.col("delta_median")], F.col("delta_median") != 0, "n_ranked").frame
     return rounded(ranked.select("stratum", "feature", F.col("place").cast("double").alias("place"), "n_ranked"))
 

@@ -6,16 +6,17 @@ own CSV reader does.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assocgrid.functions.finite import MISSING_TEXTS, parse_number, safe_ratio
 from assocgrid.functions.labels import SAMPLE_PATTERN, before_bar
-from assocgrid.operators.quality import QualityError, bad_ids, ragged_lines, require_none
+from assocgrid.operators.quality import QualityError, bad_ids, require_none
 
 MELT_CHUNK = 500
 
@@ -25,7 +26,7 @@ MELT_CHUNK = 500
 
 def read_text_table(spark: SparkSession, path: str, separator: str = ",", comment: str | None = None) -> DataFrame:
     """A delimited table with every column as text; empty cells are NULL."""
-    options = {"header": "true", "sep": separator, "nullValue": "", "inferSchema": "false", "maxColumns": "200000"}
+    options = {"header": "true", "sep": separator, "nullValue": "", "inferSchema": "false", "maxColumns": "-1"}
     if comment:
         options["comment"] = comment
     return spark.read.options(**options).csv(path)
@@ -35,10 +36,28 @@ def read_text_table(spark: SparkSession, path: str, separator: str = ",", commen
 
 
 def header_fields(spark: SparkSession, path: str, separator: str) -> list[str]:
+    return next(csv.reader([_first_line(spark, path).lstrip("\ufeff")], delimiter=separator))
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).first()
     if first is None:
         raise QualityError(f"empty file: {path}")
-    return [c.strip('"') for c in first["value"].lstrip("﻿").split(separator)]
+    return first["value"]
+
+
+def split_fields(text: str, separator: str) -> Column:
+    """Fields of a delimited line; separators inside quotes do not count, doubled quotes are one.
+
+    Between two quotes in a row every second piece of the line is quoted, so one pass is enough.
+    """
+    pieces = F.split(text, '"', -1)
+    held = F.transform(
+        pieces,
+        lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(separator), F.lit("\x01"))).when((x == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"')).otherwise(x),
+    )
+    quoted = F.transform(F.split(F.array_join(held, ""), _pattern(separator), -1), lambda x: F.replace(x, F.lit("\x01"), F.lit(separator)))
+    return F.when(F.contains(F.col(text), F.lit('"')), quoted).otherwise(F.split(text, _pattern(separator), -1))
 
 
 def read_wide_text(spark: SparkSession, path: str, separator: str = ",", skip: Sequence[str] = (), check: bool = True) -> DataFrame:
@@ -53,7 +72,7 @@ def read_wide_text(spark: SparkSession, path: str, separator: str = ",", skip: S
         names = header_fields(spark, path, separator)
         if len(set(names)) != len(names):
             raise QualityError("repeated column labels are ambiguous")
-        require_none(ragged_lines(lines, "value", _quoted(separator), len(names)), f"lines of another width in {path}")
+        require_none(_of_other_width(lines, separator, len(names)), f"lines of another width in {path}")
     features = features.where(~F.col("feature").isin(*skip)) if skip else features
     out = cells.join(features, "position")
     return out.select(F.col("id").alias("entity"), "feature", parse_number("cell").alias("value"))
@@ -68,51 +87,53 @@ def read_feature_vectors(spark: SparkSession, path: str, separator: str = "\t",
     names = header_fields(spark, path, separator)
     if len(set(names)) != len(names):
         raise QualityError("repeated sample ids")
-    header = separator.join(names)
-    samples = _header_table(spark, header, separator, "sample_id").select((F.col("position") - 1).alias("sample_index"), "sample_id")
+    samples = _header_table(spark, names, "sample_id").select((F.col("position") - 1).alias("sample_index"), "sample_id")
     if pattern:
         require_none(bad_ids(samples, "sample_id", pattern), "invalid sample ids")
-    lines = spark.read.text(path).where((F.col("value") != "") & (_plain("value") != header))
-    require_none(ragged_lines(lines, "value", _quoted(separator), len(names)), f"lines of another width in {path}")
-    parts = F.split("value", _quoted(separator), -1)
+    lines = _data_lines(spark, path)
+    require_none(_of_other_width(lines, separator, len(names)), f"lines of another width in {path}")
+    parts = split_fields("value", separator)
     values = F.transform(F.slice(parts, 2, max(len(names) - 1, 1)), parse_number)
     vectors = lines.select(parts[0].alias("feature"), before_bar(parts[0]).alias("symbol"), values.alias("values"))
     known = F.size(F.filter("values", lambda v: v.isNotNull()))
     return vectors.withColumn("n_known", known), samples
 
 
-def _plain(column: str) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(F.col(column), "^﻿", ""), '"', "")
+def _data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines other than empty ones and the header, which every file of a folder repeats."""
+    header = _first_line(spark, path)
+    return spark.read.text(path).where(~F.col("value").isin("", header, header.lstrip("\ufeff")))
+
 
+def _of_other_width(lines: DataFrame, separator: str, width: int) -> DataFrame:
+    return lines.withColumn("n_fields", F.size(split_fields("value", separator))).where(F.col("n_fields") != width)
 
-def _quoted(separator: str) -> str:
+
+def _pattern(separator: str) -> str:
     """Separator as a regular expression for ``split``."""
     return {"\t": "\t", ",": ",", ";": ";", "|": r"\|"}[separator]
 
 
-def _header_table(spark: SparkSession, header: str, separator: str, name: str) -> DataFrame:
+def _header_table(spark: SparkSession, names: Sequence[str], name: str) -> DataFrame:
     """(position, name) of every column after the first."""
-    fields = spark.range(1).select(F.posexplode(F.split(F.lit(header), _quoted(separator), -1)).alias("position", name))
-    return fields.where("position > 0")
+    return spark.createDataFrame(list(enumerate(names))[1:], f"position int, {name} string")
 
 
 def _exploded_lines(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    names = header_fields(spark, path, separator)
-    header = separator.join(names)
-    lines = spark.read.text(path).where((F.col("value") != "") & (_plain("value") != header))
-    parts = F.split("value", _quoted(separator), -1)
-    cells = lines.select(F.regexp_replace(parts[0], '"', "").alias("id"), F.posexplode(parts).alias("position", "cell"))
-    return cells.where("position > 0"), _header_table(spark, header, separator, "feature"), lines
+    lines = _data_lines(spark, path)
+    fields = lines.select(split_fields("value", separator).alias("parts"))
+    cells = fields.select(F.col("parts")[0].alias("id"), F.posexplode("parts").alias("position", "cell"))
+    return cells.where("position > 0"), _header_table(spark, header_fields(spark, path, separator), "feature"), lines
 
 
 def melt_wide(spark: SparkSession, path: str, id_column: str, features: Sequence[str] | None = None, chunk: int = MELT_CHUNK) -> DataFrame:
-    """(entity, feature, value) from a wide Parquet table of any width.
+    """(entity, feature, value) from a wide Parquet table of any width; without a list, its numeric columns.
 
     The columns are read in chunks, each a scan of its own columns only: memory per task
     is bounded by the chunk, not by the width of the table.
     """
     wide = spark.read.parquet(path)
-    columns = list(features) if features is not None else [c for c in wide.columns if c != id_column]
+    columns = list(features) if features is not None else [f.name for f in wide.schema if f.name != id_column and isinstance(f.dataType, T.NumericType)]
     parts = []
     for start in range(0, len(columns), chunk):
         block = columns[start : start + chunk]
@@ -192,7 +213,7 @@ def identity_checked(variants: DataFrame, identities: DataFrame, uuid: str, barc
     ``identities(uuid, known_barcode, known_case, ...)`` has one row per id.
     """
     joined = variants.join(identities, uuid, "left")
-    agree = (F.col("known_barcode") == F.col(barcode)) & (F.col("known_case") == F.col(case))
+    agree = F.coalesce((F.col("known_barcode") == F.col(barcode)) & (F.col("known_case") == F.col(case)), F.lit(False))
     problem = F.when(F.col("known_barcode").isNull(), "unknown id").when(~agree, "barcode or case differs")
     marked = joined.withColumn("problem", problem)
     bad = marked.where("problem is not null").groupBy(uuid, "problem").agg(F.count(F.lit(1)).alias("n_rows"))

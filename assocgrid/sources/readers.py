@@ -42,10 +42,11 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType:
     return scan(spark, path).schema
 
 
-def read_feature(matrix: DataFrame, feature: str, value_name: str, order: Sequence[str] = ("value",)) -> DataFrame:
-    """(entity, value) of one feature; of repeated entities the first by ``order`` is kept."""
+def read_feature(matrix: DataFrame, feature: str, value_name: str, order: Sequence[str]) -> DataFrame:
+    """(entity, value) of one feature; of repeated entities the first by ``order`` is kept, unknowns last."""
     rows = matrix.where(F.col("feature") == feature)
-    rows = first_per_key(rows.select("entity", *dict.fromkeys(["value", *order])), ["entity"], list(order))
+    known_first = [c for name in order for c in (F.col(name).isNull(), F.col(name))]
+    rows = first_per_key(rows.select("entity", *dict.fromkeys(["value", *order])), ["entity"], known_first)
     return rows.select("entity", F.col("value").cast("double").alias(value_name))
 
 
@@ -87,8 +88,11 @@ class Catalog:
             raise DataUnavailable(f"dataset {name!r} is not in layer {layer!r} (present in: {layers})")
         return scan(self.spark, self.paths[layer, name])
 
-    def feature(self, name: str, feature: str, layer: str = "current", value_name: str = "value") -> DataFrame:
-        return read_feature(self.table(name, layer), feature, value_name).withColumn("layer", F.lit(layer))
+    def feature(
+        self, name: str, feature: str, layer: str = "current", value_name: str = "value", order: Sequence[str] = ("value",)
+    ) -> DataFrame:
+        """One feature of a layer; of repeated entities the first by ``order``, known values before NULL."""
+        return read_feature(self.table(name, layer), feature, value_name, order).withColumn("layer", F.lit(layer))
 
     def log_feature(self, name: str, feature: str, layer: str = "current", value_name: str = "value") -> DataFrame:
         df = self.feature(name, feature, layer, value_name)

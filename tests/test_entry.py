@@ -2,12 +2,13 @@
 
 import __spark_entry__ as entry
 from assocgrid import storage
+from assocgrid.registry import REGISTRY
 
 
 def test_registry_is_consistent():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"bootstrap_ci", "content_hash"}
+    assert set(sql) <= set(queries) and set(REGISTRY.queries) <= set(queries)
+    assert set(REGISTRY.queries) - set(REGISTRY.sql) == {"bootstrap_ci", "content_hash"}
 
 
 def test_flagship_schema(spark):

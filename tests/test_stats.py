@@ -97,15 +97,15 @@ def test_perfect_and_constant_correlations(spark):
     assert linear_fit(df, [], "flat", "x").first()["slope"] is None
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_adjustment_and_ranks(spark, bound):
+
+def test_adjustment_and_ranks(spark):
     rng = np.random.default_rng(5)
     p = np.where(rng.random(300) < 0.3, np.nan, rng.random(300).round(2))
     p[:40] = 1.0
     family = rng.choice(["a", "b"], 300)
     pdf = pd.DataFrame({"f": family, "i": np.arange(300), "p": p})
     df = spark.createDataFrame(pdf).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
-    table = ResultTable(df, ["i"], ["f"], bound=bound).adjust("p", "fdr")
+    table = ResultTable(df, ["i"], ["f"]).adjust("p", "fdr")
     table.rank("place", [F.col("p")], F.col("p").isNotNull(), "m").rank("all_rows", [F.col("p").asc_nulls_first()])
     got = table.frame.toPandas().sort_values("i").reset_index(drop=True)
     for f in ("a", "b"):
@@ -122,7 +122,7 @@ def test_published_adjustments(spark):
     got = {r["t"]: r["fdr"] for r in adjust_window(frame(spark, rows, "t double, p double"), "p", "fdr").collect()}
     assert math.isclose(got[0.585], 3.46012945599466e-22, rel_tol=1e-12) and got[0.35] is None
     many = spark.range(18256).selectExpr("id", "CASE WHEN id = 0 THEN 1.15337648533155e-22D ELSE 0.5D END AS p")
-    top = ResultTable(many, ["id"], bound=0).adjust("p", "fdr").frame.where("id = 0").first()
+    top = ResultTable(many, ["id"]).adjust("p", "fdr").frame.where("id = 0").first()
     assert math.isclose(top["fdr"], 2.10560411162129e-18, rel_tol=1e-13)
 
 
@@ -186,7 +186,7 @@ def test_hot_keys_give_the_same_results(spark, monkeypatch):
         ]
 
     cold = results()
-    monkeypatch.setattr(ordered, "HOT_ROWS", 1000)
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 1000)
     mixed = results()
     for a, b in zip(sum(cold, []), sum(mixed, [])):
         for name, u, v in zip(a.__fields__, a, b):
