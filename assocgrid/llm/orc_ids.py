@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assocgrid.llm.tokens import END_ID, default_tokenizer, encoder, slices
-from assocgrid.storage import new_path
+from assocgrid.storage import materialize, new_path
 
 STRIPE_BYTES = 16 << 20
 ROW_INDEX = 1000
@@ -100,4 +100,4 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
     """Write the files to the shared folder, read them back, and return one digest row per document."""
     path = new_path(spark, "token-ids")
     write_ids(docs, path, tokenizer)
-    return starts(digest(read_ids(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return starts(materialize(digest(read_ids(spark, path)), "token-digests")).select("doc_id", "start", "n_tokens", "ids_crc32")
