@@ -115,8 +115,10 @@ def gated_screen(
     matrix: DataFrame, driver: DataFrame, x: str, low: Column, min_n: int = MIN_GROUP
 ) -> tuple[DataFrame, DataFrame]:
     """(status, result): an empty typed result, without reading values, when a group is too small."""
-    status = screen_status(matrix, driver, x, low, min_n)
-    if status.first()["status"] == "SKIPPED":
+    counted = screen_status(matrix, driver, x, low, min_n)
+    row = counted.first()
+    status = matrix.sparkSession.createDataFrame([row], counted.schema)  # one row, not counted again
+    if row["status"] == "SKIPPED":
         return status, matrix.sparkSession.createDataFrame([], SCREEN_SCHEMA)
     return status, feature_screen(matrix, driver, x, low, min_n)
 

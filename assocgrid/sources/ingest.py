@@ -26,7 +26,9 @@ MELT_CHUNK = 500
 
 def read_text_table(spark: SparkSession, path: str, separator: str = ",", comment: str | None = None) -> DataFrame:
     """A delimited table with every column as text; empty cells are NULL."""
-    options = {"header": "true", "sep": separator, "nullValue": "", "inferSchema": "false", "maxColumns": "-1"}
+    # the parser reserves room for so many columns: those of the header, and as many again
+    width = len(header_fields(spark, path, separator, comment))
+    options = {"header": "true", "sep": separator, "nullValue": "", "inferSchema": "false", "maxColumns": str(max(20_480, 2 * width))}
     if comment:
         options["comment"] = comment
     return spark.read.options(**options).csv(path)
@@ -35,12 +37,13 @@ def read_text_table(spark: SparkSession, path: str, separator: str = ",", commen
 # ---- wide matrices ------------------------------------------------------------------
 
 
-def header_fields(spark: SparkSession, path: str, separator: str) -> list[str]:
-    return next(csv.reader([_first_line(spark, path).lstrip("\ufeff")], delimiter=separator))
+def header_fields(spark: SparkSession, path: str, separator: str, comment: str | None = None) -> list[str]:
+    return next(csv.reader([_first_line(spark, path, comment).lstrip("\ufeff")], delimiter=separator))
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).first()
+def _first_line(spark: SparkSession, path: str, comment: str | None = None) -> str:
+    lines = spark.read.text(path)
+    first = (lines.where(~F.col("value").startswith(comment)) if comment else lines).first()
     if first is None:
         raise QualityError(f"empty file: {path}")
     return first["value"]

@@ -9,6 +9,7 @@ from assocgrid.functions.states import prepare_driver
 from assocgrid.operators.models import adjusted_coefficients, pooled_model
 from assocgrid.operators.results import top_correlations, top_per_direction
 from assocgrid.plans import screens
+from assocgrid.operators.quality import QualityError
 from assocgrid.plans.workflow import pair_workflow
 
 
@@ -161,3 +162,26 @@ def test_pair_workflow_tables(spark):
     assert counts["feature_screen"] == 3 and counts["covariation"] == 3 and counts["targeted"] == 1
     assert counts["prevalence"] == 15 and counts["stratum_order"] == 3 and counts["adjusted"] == 3
     assert counts["threshold_sensitivity"] == 4 and counts["stratified"] == 2
+
+
+def test_repeated_entities(spark):
+    """X9, X12 and pairs refuse repeated entities; X1 takes the first by an explicit order."""
+    cells = [(f"e{i}", f, float(i * k % 7)) for i in range(30) for k, f in enumerate(("A", "B"), 2)]
+    matrix = spark.createDataFrame(cells, "entity string, feature string, value double")
+    rows = [(f"e{i}", i / 10, "s" if i % 2 else "t", 0) for i in range(30)]
+    once = spark.createDataFrame(rows, "entity string, level_log double, stratum string, copy int")
+    twice = spark.createDataFrame([*rows, ("e3", 9.0, "s", 1), ("e3", 9.5, "s", 2)], "entity string, level_log double, stratum string, copy int")
+    low = screens.low_group()
+    for refused in (
+        lambda: screens.feature_screen(matrix, twice, "level_log", low),
+        lambda: screens.quantile_screen(matrix, twice, "level_log"),
+        lambda: screens.ranked_adjusted_screen(matrix, twice, "level_log", "stratum", low),
+        lambda: screens.ranked_adjusted_screen(matrix.union(matrix.limit(1)), once, "level_log", "stratum", low),
+        lambda: screens.matched_pair(twice.withColumnRenamed("level_log", "level"), matrix.where("feature = 'A'")),
+    ):
+        with pytest.raises(QualityError):
+            refused()
+    first = screens.feature_screen(matrix, twice, "level_log", low, order=["copy"])
+    again = screens.feature_screen(matrix, once, "level_log", low)
+    for a, b in zip(first.orderBy("feature").collect(), again.orderBy("feature").collect(), strict=True):
+        assert all(u == v if not isinstance(u, float) else u == pytest.approx(v) for u, v in zip(a, b))

@@ -120,3 +120,22 @@ def test_ledger(spark):
     assert ledger.parameter_text("targeted", "A", "B", {}) != ledger.parameter_text("targeted", "A", "C", {})
     a, b = (quality.content_hash(spark.range(5).repartition(n)).first() for n in (1, 3))
     assert a == b and quality.content_hash(spark.range(6)).first() != a
+
+
+def test_quoted_fields(spark, tmp_path):
+    """Separators and doubled quotes inside quotes belong to the field."""
+    path = tmp_path / "q.csv"
+    path.write_text('﻿id,"G, one",B\n"e,1",1,"2"\n"say ""hi""",,"3"\n', encoding="utf-8")
+    got = {(r.entity, r.feature): r.value for r in ingest.read_wide_text(spark, str(path)).collect()}
+    assert got == {("e,1", "G, one"): 1.0, ("e,1", "B"): 2.0, ('say "hi"', "G, one"): None, ('say "hi"', "B"): 3.0}
+
+
+def test_melt_leaves_text_columns_out(spark, tmp_path):
+    spark.createDataFrame([("a", "x", 1.0, 2)], "entity string, name string, g double, h int").write.parquet(str(tmp_path / "w"))
+    got = {(r.feature, r.value) for r in ingest.melt_wide(spark, str(tmp_path / "w"), "entity").collect()}
+    assert got == {("g", 1.0), ("h", 2.0)}
+
+
+def test_unknown_values_come_last(spark):
+    rows = spark.createDataFrame([("e", "f", None), ("e", "f", 5.0), ("e", "f", 2.0)], "entity string, feature string, value double")
+    assert readers.read_feature(rows, "f", "v", ["value"]).first()["v"] == 2.0
