@@ -186,11 +186,13 @@ def search_block(queries: np.ndarray, query_ids: list, ids: np.ndarray, least: i
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of the index for ``queries(vec_id, v)``."""
-    blocks = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("_part", F.spark_partition_id()).withColumn("_turn", F.floor(F.monotonically_increasing_id() / query_block))
-    packed = blocks.groupBy("_part", "_turn").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    blocks = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks = blocks.withColumn("_part", F.spark_partition_id()).withColumn("_turn", F.floor(F.monotonically_increasing_id() / query_block))
+    # written once: a task that is repeated must not deal the queries out anew
+    packed = materialize(blocks.groupBy("_part", "_turn").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")), "query-blocks")
     # a stated query set against all rows, block by block: every query block is sent to every row block
-    listed = index.agg(F.collect_list("block").alias("block"))
-    sent = packed.withColumn("_all", F.lit(0)).join(listed.withColumn("_all", F.lit(0)), "_all").select("queries", F.explode("block").alias("_block"))
+    listed = index.agg(F.collect_list("block").alias("block")).scalar()
+    sent = packed.select("queries", F.explode(listed).alias("_block"))
     # as many tasks as the session has shuffle partitions: the rows are few, but each is much work
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = sent.repartition(tasks, "_block").join(index.repartition(tasks, "block"), F.col("_block") == F.col("block")).select("queries", "ids", "least", "bits", "dims", "slices")
