@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assocgrid.functions.finite import parse_flag
 from assocgrid.operators import cohort, quality, stats
-from assocgrid.operators.results import ResultTable
+from assocgrid.operators.results import ResultTable, untested_before
 from assocgrid.plans import ledger, screens
 from assocgrid.registry.base import M, REGISTRY, Tables, bh_sql, driver, final, long_matrix, prepared_matrix, rounded
 from assocgrid.registry.screening import EFFECT_FLOATS, EFFECT_INTS, SCREEN
@@ -149,3 +150,33 @@ def melt_identity_columns(spark: SparkSession, folder: str) -> DataFrame:
     wide = ingest.pivot_features(long_matrix(Tables(spark, folder)), ["Brand#1", "Brand#2"])
     sinks.write_prepared(wide.withColumn("name", F.concat(F.lit("c"), "entity")).withColumn("stratum", F.lit("s")), path)
     return ingest.melt_wide(spark, path, "entity", chunk=1)
+
+
+# ---- checks that must find something -----------------------------------------------------
+
+M_SMALL = M.replace("m AS (", "m0 AS (", 1) + ", m AS (SELECT * FROM m0 WHERE feature NOT IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') OR entity <= 12)"
+
+
+@add("untested_small_features", SCREEN.replace(M, M_SMALL) + """SELECT count(*) FILTER (WHERE rank_sum_fdr IS NULL) AS n_untested,
+   count(*) FILTER (WHERE rank_sum_fdr IS NULL AND rank < (SELECT rank FROM s WHERE feature = 'Brand#7')) AS n_untested_before FROM s""")
+def untested_small_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Five features keep a dozen entities only, too few to be tested."""
+    t = Tables(spark, folder)
+    small = F.col("feature").isin(*[f"Brand#{i}" for i in range(1, 6)])
+    matrix = prepared_matrix(t).where(~small | (F.col("entity") <= 12))
+    return untested_before(screens.feature_screen(matrix, driver(t), "level_log", screens.low_group()), "rank_sum_fdr", "rank", "feature", "Brand#7")
+
+
+@add("flag_texts", "SELECT event_id, event_id % 6 < 3 AS flag FROM events")
+def flag_texts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = F.array(*[F.lit(x) for x in ("TRUE", "1", "Yes", "no", "0")])
+    rows = Tables(spark, folder).events.withColumn("text", F.get(texts, (F.col("event_id") % 6).cast("int")))
+    return rows.select("event_id", parse_flag("text").alias("flag"))
+
+
+@add("feature_order_differences", "SELECT c_custkey AS file, CAST(3 AS BIGINT) AS n_features FROM customer WHERE c_custkey % 10 = 0")
+def feature_order_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """The same three features in every file, two of them swapped in one file of ten."""
+    swapped = F.when(F.col("c_custkey") % 10 == 0, F.array(F.lit("g2"), F.lit("g1"), F.lit("g3"))).otherwise(F.array(F.lit("g1"), F.lit("g2"), F.lit("g3")))
+    cells = Tables(spark, folder).customer.select(F.col("c_custkey").alias("file"), F.posexplode(swapped).alias("position", "feature"))
+    return quality.feature_list_differences(cells, "file", "feature", "position")
