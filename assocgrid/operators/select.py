@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assocgrid.functions.labels import map_code
+from assocgrid.operators.quality import require_none
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -41,7 +42,8 @@ def pick_representatives(candidates: DataFrame, preferred: DataFrame, entity: st
 
 
 def apply_selection(candidates: DataFrame, saved: DataFrame, file: str, fields: Sequence[str]) -> DataFrame:
-    """Candidates chosen by a saved selection."""
+    """Candidates chosen by a saved selection; a changed coverage or identity is an error."""
+    require_none(selection_problems(candidates, saved, file, fields), "the saved selection does not fit the candidates")
     return candidates.join(saved.where("selected").select(file, "matches", "selected"), file)
 
 

@@ -234,6 +234,13 @@ def quantile_groups(pair: DataFrame, x: str, y: str, quantiles: Sequence[float]
     return adjust_window(out, "rank_sum_p", "rank_sum_fdr")
 
 
+def quantile_dependency(
+    pair: DataFrame, x: str, y: str, quantiles: Sequence[float] = QUANTILES, min_n: int = MIN_GROUP
+) -> tuple[DataFrame, DataFrame]:
+    """(groups at the quantiles, the correlation of the same finite pairs): both halves of the analysis."""
+    return quantile_groups(pair, x, y, quantiles, min_n), pair_correlations(finite_pairs(pair, x, y), [], x, y)
+
+
 def chained_correlations(driver: DataFrame, middle: DataFrame, target: DataFrame) -> DataFrame:
     """Driver against middle and middle against target, each on its own matched cohort."""
     first = driver.select("entity", F.col("level").alias("x")).join(middle.select("entity", F.col("value").alias("y")), "entity")

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import parse_flag
-from assocgrid.operators import cohort, quality, stats
+from assocgrid.operators import cohort, quality, select, stats
 from assocgrid.operators.results import ResultTable, untested_before
 from assocgrid.plans import ledger, screens
-from assocgrid.registry.base import M, REGISTRY, Tables, bh_sql, driver, final, long_matrix, prepared_matrix, rounded
-from assocgrid.registry.screening import EFFECT_FLOATS, EFFECT_INTS, SCREEN
+from assocgrid.registry.base import DRV, M, REGISTRY, Tables, bh_sql, correlation_sql, driver, final, long_matrix, prepared_matrix, rounded
+from assocgrid.registry.screening import CORR_COLUMNS, EFFECT_FLOATS, EFFECT_INTS, PAIR, SCREEN, _pair
 from assocgrid.sources import ingest, sinks
 from assocgrid.storage import new_path
 
@@ -180,3 +180,18 @@ def feature_order_differences(spark: SparkSession, folder: str) -> DataFrame:
     swapped = F.when(F.col("c_custkey") % 10 == 0, F.array(F.lit("g2"), F.lit("g1"), F.lit("g3"))).otherwise(F.array(F.lit("g1"), F.lit("g2"), F.lit("g3")))
     cells = Tables(spark, folder).customer.select(F.col("c_custkey").alias("file"), F.posexplode(swapped).alias("position", "feature"))
     return quality.feature_list_differences(cells, "file", "feature", "position")
+
+
+# ---- both halves of a quantile analysis, a saved selection --------------------------------
+
+
+@add("quantile_correlation", f"WITH {M}, {DRV}, {PAIR} " + final(correlation_sql("pr", "k", 3), [], ["n"], CORR_COLUMNS))
+def quantile_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(screens.quantile_dependency(_pair(Tables(spark, folder)), "level_log", "target")[1])
+
+
+@add("applied_selection", "SELECT o_orderkey, o_custkey, CAST(1 AS BIGINT) AS matches, true AS selected FROM orders WHERE o_orderstatus = 'F'")
+def applied_selection(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = Tables(spark, folder).orders.select("o_orderkey", "o_custkey")
+    saved = Tables(spark, folder).orders.select("o_orderkey", "o_custkey", F.lit(1).cast("long").alias("matches"), (F.col("o_orderstatus") == "F").alias("selected"))
+    return select.apply_selection(candidates, saved, "o_orderkey", ["o_custkey"])

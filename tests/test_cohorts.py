@@ -104,3 +104,12 @@ def test_saved_selection_problems(spark):
     saved = spark.createDataFrame([("f1", "s9"), ("f3", "s3")], "file string, sample string")
     got = {r["file"]: r["problem"] for r in select.selection_problems(now, saved, "file", ["sample"]).collect()}
     assert got == {"f1": "sample changed", "f2": "not in selection", "f3": "file gone"}
+
+
+def test_saved_selection_must_fit(spark):
+    candidates = spark.createDataFrame([(1, "a"), (2, "b")], "file int, entity string")
+    saved = spark.createDataFrame([(1, "a", 1, True), (2, "b", 1, False)], "file int, entity string, matches int, selected boolean")
+    assert [r.file for r in select.apply_selection(candidates, saved, "file", ["entity"]).collect()] == [1]
+    for changed in (candidates.limit(1), candidates.withColumn("entity", F.lit("c"))):
+        with pytest.raises(quality.QualityError):
+            select.apply_selection(changed, saved, "file", ["entity"])
