@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from assocgrid.storage import materialize
 
-#: Largest id list that is broadcast; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Most ids or numbers in a table that is broadcast (up to some 50 MB); larger ones are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
-def few(table: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``table``, marked for broadcast if it is counted and has at most ``bound`` (short) rows."""
-    return F.broadcast(table) if table.count() <= bound else table
+def few(table: DataFrame, weight: Column | None = None, bound: int = BROADCAST_IDS) -> DataFrame:
+    """``table``, marked for broadcast if its rows, counted by ``weight``, are at most ``bound``."""
+    total = table.agg(F.sum(F.lit(1) if weight is None else weight + 1).alias("n")).first()["n"]
+    return F.broadcast(table) if (total or 0) <= bound else table
 
 
 def components(edges: DataFrame) -> DataFrame:
