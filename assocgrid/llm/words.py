@@ -7,6 +7,7 @@ cuts there, and ``bytes.lower`` folds A-Z only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -36,8 +37,7 @@ def words(text: str, lower: bool = True) -> list[bytes]:
 def word_hashes(lists: Sequence[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after another, and the number of words of each list."""
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    lookup = HASHES.__getitem__
-    return np.fromiter((lookup(w) for own in lists for w in own), U, int(counts.sum())), counts
+    return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(lists)), U, int(counts.sum())), counts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
