@@ -82,7 +82,17 @@ def bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return bitslice.top_k(spark, Tables(spark, folder).embeddings)
 
 
-@LLM.add("op3_order_join")
+@LLM.add(
+    "op3_order_join",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+      e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+      r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.root = e.x)
+    SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+)
 def order_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.groups(spark, Tables(spark, folder).documents)
 
