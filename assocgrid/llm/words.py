@@ -6,7 +6,7 @@ cuts there, and ``bytes.lower`` folds A-Z only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from itertools import chain
 
 import numpy as np
@@ -34,7 +34,7 @@ def words(text: str, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def word_hashes(lists: Sequence[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(lists: Sequence[Collection[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after another, and the number of words of each list."""
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(lists)), U, int(counts.sum())), counts
