@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from assocgrid.llm import folds
 from assocgrid.llm.quality_rules import COUNTS, measures, text_counts
-from assocgrid.llm.tokens import slices
+from assocgrid.llm.tokens import portions, slices
 from assocgrid.llm.words import U, word_hashes, words
 
 BUCKETS = 1 << 16
@@ -129,7 +129,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Machine:
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             bounds, index, value = features([t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist())
             lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (index.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(3)], names=["doc_id", "index", "value", "label"])
@@ -147,7 +147,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     machine = learned(docs, labels)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts, lengths = [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
             for a, b in slices(texts):
                 scores = machine.scores(texts[a:b], lengths[a:b])

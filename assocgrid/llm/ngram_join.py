@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assocgrid.llm import links
-from assocgrid.llm.tokens import slices
+from assocgrid.llm.tokens import portions, slices
 from assocgrid.llm.words import U, mixed, shingle_sets
 from assocgrid.storage import materialize
 
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFr
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], width)
@@ -134,7 +134,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, n, tokens of the texts of ``wanted(node, low, high)``; the node is a document's id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], width)

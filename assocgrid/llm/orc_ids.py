@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assocgrid.llm.tokens import END_ID, default_tokenizer, encoder, slices
+from assocgrid.llm.tokens import END_ID, default_tokenizer, encoder, portions, slices
 from assocgrid.storage import materialize, new_path
 
 STRIPE_BYTES = 16 << 20
@@ -33,7 +33,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     source = tokenizer or default_tokenizer()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in slices(texts):
                 flat, bounds = encoder(source).encode(texts[a:b], end_id)
@@ -86,7 +86,7 @@ def digest(ids: DataFrame) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        for batch in batches:
+        for batch in portions(batches):
             column = batch.column(3)
             flat, at = column.values.to_numpy(zero_copy_only=False).astype("<u4"), column.offsets.to_numpy()
             sums = [zlib.crc32(flat[at[k] : at[k + 1]].tobytes()) for k in range(len(column))]

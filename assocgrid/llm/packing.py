@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assocgrid.llm.tokens import END_ID, default_tokenizer, encoder, slices
+from assocgrid.llm.tokens import END_ID, default_tokenizer, encoder, portions, slices
 
 LENGTH = 1024
 WINDOW_DOCUMENTS = 4096
@@ -69,7 +69,7 @@ def pack(
         names: list = []
         held: list[np.ndarray] = []
         total = 0
-        for batch in batches:
+        for batch in portions(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 flat, bounds = encoder(path).encode(texts[a:b], end_id)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assocgrid.llm import folds
+from assocgrid.llm.tokens import portions
 from assocgrid.llm.words import window_hashes, word_hashes
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_distinct"]
@@ -76,7 +77,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows = [text_counts(t or "") for t in batch.column(at).to_pylist()]
             extra = [pa.array(list(map(itemgetter(k), rows)), pa.int64()) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *names])

@@ -9,7 +9,7 @@ with other white space is encoded whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -21,7 +21,7 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 CHUNK = re.compile(rf" ?[{LETTERS}]++(?=[.,])|[ \n]*[^ \n]+|[ \n]+")
 ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-CACHED_CHUNKS = 800_000  # of a worker; at the bound the cache starts anew
+CACHED_CHUNKS = 300_000  # of a worker; at the bound all but the first third, the common ones, are forgotten
 END_ID = 0
 
 
@@ -56,15 +56,19 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.letters = byte_letters()
         self.cached = cached
-        self.forget()
-
-    def forget(self) -> None:
         self.number = Chunks()
         self.first = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.known = self.used = 0
 
+    def forget(self) -> None:
+        """Drop the chunks learnt last; those met first are the common ones."""
+        self.known = self.cached // 3
+        self.used = int(self.first[self.known])
+        for chunk in list(self.number)[self.known :]:
+            del self.number[chunk]
+
     def chunk_ids(self, chunk: str) -> list[int]:
         if ONE_WORD.fullmatch(chunk):  # one word is one run of the merges
             return [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
@@ -125,7 +129,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: Sequence[str], characters: int = 4_000_000):
+def portions(batches: Iterator, rows: int = 512) -> Iterator:
+    """Record batches cut into smaller ones, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
+def slices(texts: Sequence[str], characters: int = 2_000_000):
     """Ranges of texts of about so many characters each, at least one text."""
     start = total = 0
     for i, t in enumerate(texts):

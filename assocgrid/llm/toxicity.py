@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assocgrid.llm import folds
+from assocgrid.llm.tokens import portions
 
 WORDS, STEP = 8, 4
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 16384
@@ -153,7 +154,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             scores = model.scores([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 class WordHashes(dict):
