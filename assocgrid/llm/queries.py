@@ -118,4 +118,4 @@ def factor_machine_quality(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("op4_fuzzy_lines")
 def fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents.select("doc_id", "text")
-    return line_dedup.without_repeats(spark, docs).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
+    return line_dedup.without_repeats(spark, docs, distance=None).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
