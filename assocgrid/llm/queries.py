@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assocgrid.llm import bitslice, factor_machine, line_dedup, mixing, ngram_join, orc_ids, packing, quality_rules, toxicity, url_filter
+from assocgrid.llm import bitslice, factor_machine, line_dedup, mixing, ngram_join, orc_ids, packing, quality_rules, token_counts, toxicity, url_filter
 from assocgrid.registry.base import Registry, Tables
 
 LLM = Registry()
@@ -119,3 +119,8 @@ def factor_machine_quality(spark: SparkSession, folder: str) -> DataFrame:
 def fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents.select("doc_id", "text")
     return line_dedup.without_repeats(spark, docs, distance=None).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
+
+
+@LLM.add("op13_token_counts")
+def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(spark, Tables(spark, folder).documents)
