@@ -273,29 +273,6 @@ def nested_values(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@add("clinical_rows", """SELECT 'P' || o_orderstatus AS project_id, o_orderkey AS case_id, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderpriority ELSE o_orderpriority || ';' || o_orderstatus END AS primary_diagnosis,
-   CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS DOUBLE) WHEN o_orderpriority = '5-LOW' THEN o_totalprice / 365.25 END AS age,
-   CASE WHEN o_orderstatus = 'F' THEN 'demographic age in years' WHEN o_orderpriority = '5-LOW' THEN 'diagnosis age in days / 365.25' ELSE 'unavailable or several diagnoses' END AS age_source,
-   CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END AS age_at_diagnosis_days, greatest(o_custkey + 1.0, o_orderkey + 0.0) AS days_to_last_follow_up, '[{"kind":"' || o_orderstatus || '"}' || CASE WHEN o_orderpriority = '5-LOW' THEN ']' ELSE ',{"kind":"x"}]' END AS treatments FROM orders""")
-def clinical_rows(spark: SparkSession, folder: str) -> DataFrame:
-    def diagnosis(name: Column, age: Column, kind: Column) -> Column:
-        return F.struct(
-            name.alias("primary_diagnosis"), age.alias("age_at_diagnosis"), F.lit(None).cast("string").alias("ajcc_pathologic_stage"), F.lit(None).cast("string").alias("tumor_stage"),
-            (F.col("o_custkey") + 1).cast("string").alias("days_to_last_follow_up"), F.lit("unknown").alias("days_to_death"),
-            F.array(F.struct(kind.alias("kind"))).alias("treatments"), F.array(F.struct(F.col("o_orderkey").cast("string").alias("days_to_last_follow_up"))).alias("follow_ups"),
-        )
-
-    one = diagnosis(F.col("o_orderpriority"), F.col("o_totalprice"), F.col("o_orderstatus"))
-    two = diagnosis(F.col("o_orderstatus"), F.col("o_totalprice") + 1, F.lit("x"))
-    age = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))
-    cases = Tables(spark, folder).orders.select(
-        F.concat(F.lit("P"), "o_orderstatus").alias("project_id"), F.col("o_orderkey").alias("case_id"),
-        F.struct(age.alias("age_at_index"), F.lit(None).cast("long").alias("days_to_death")).alias("demographic"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.array(one)).otherwise(F.array(one, two)).alias("diagnoses"),
-    )
-    return nested.clinical_rows(cases).select("project_id", "case_id", "primary_diagnosis", "age", "age_source", "age_at_diagnosis_days", "days_to_last_follow_up", "treatments")
-
-
 def _files(t: Tables) -> DataFrame:
     """One file per order with a tumour and a normal sample; status P has no aliquots."""
     key = F.col("o_orderkey").cast("string")

@@ -157,9 +157,16 @@ def pivot_features(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def read_entity_files(spark: SparkSession, folder: str, schema: str, separator: str = "\t", header: bool = True) -> DataFrame:
-    """All delimited files below a folder with their file name; comment lines start with #."""
-    df = spark.read.option("recursiveFileLookup", "true").options(sep=separator, header=str(header).lower(), comment="#", nullValue="NA").schema(schema).csv(folder)
-    return df.withColumn("file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    """All delimited files below a folder with their file name; comment lines start with #.
+
+    Cells are read as texts, so that every missing text is NULL, then cast; other texts that do not
+    fit their column's type are NULL too.
+    """
+    wanted = T._parse_datatype_string(schema)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+    df = spark.read.option("recursiveFileLookup", "true").options(sep=separator, header=str(header).lower(), comment="#", nullValue="").schema(texts).csv(folder)
+    df = df.withColumn("file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return typed(df, {f.name: f.dataType.simpleString() for f in wanted.fields})
 
 
 def split_summary_rows(df: DataFrame, feature: str, prefix: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assocgrid.functions.finite import col
-from assocgrid.functions.labels import type_code_part, years_from_days
+from assocgrid.functions.labels import type_code_part
 from assocgrid.functions.states import TUMOUR_CODES
 
 TUMOUR_ONLY_DATA = ("Gene Level Copy Number", "Allele-specific Copy Number Segment", "Masked Somatic Mutation")
@@ -39,12 +39,6 @@ def largest_number(children: Column | str, field: str) -> Column:
     return F.array_max(numeric_values(children, field))
 
 
-def nested_children(parents: Column | str, field: str) -> Column:
-    """All grandchildren of a parent array in one array."""
-    empty_safe = F.filter(F.transform(col(parents), lambda p: p[field]), lambda a: a.isNotNull())
-    return F.flatten(empty_safe)
-
-
 def compact_json(value: Column | str) -> Column:
     return F.to_json(col(value))
 
@@ -52,36 +46,6 @@ def compact_json(value: Column | str) -> Column:
 # ---- tables -------------------------------------------------------------------------
 
 
-def clinical_rows(cases: DataFrame) -> DataFrame:
-    """One row per case from ``demographic`` and the ``diagnoses`` array.
-
-    Age comes from the demographic record, else from the single diagnosis age in days;
-    numbers on which the children disagree stay NULL.
-    """
-    age_days = only_number("diagnoses", "age_at_diagnosis")
-    index_age = F.col("demographic.age_at_index").cast("double")
-    source = (
-        F.when(index_age.isNotNull(), "demographic age in years")
-        .when(age_days.isNotNull(), "diagnosis age in days / 365.25")
-        .otherwise("unavailable or several diagnoses")
-    )
-    follow_ups = nested_children("diagnoses", "follow_ups")
-    last = F.array_max(F.concat(numeric_values("diagnoses", "days_to_last_follow_up"), numeric_values(follow_ups, "days_to_last_follow_up")))
-    return cases.select(
-        "project_id",
-        "case_id",
-        combine_distinct("diagnoses", "primary_diagnosis").alias("primary_diagnosis"),
-        F.coalesce(index_age, years_from_days(age_days)).alias("age"),
-        source.alias("age_source"),
-        age_days.alias("age_at_diagnosis_days"),
-        F.coalesce(combine_distinct("diagnoses", "ajcc_pathologic_stage"), combine_distinct("diagnoses", "tumor_stage")).alias("stage"),
-        F.coalesce(F.col("demographic.days_to_death").cast("double"), only_number("diagnoses", "days_to_death")).alias("days_to_death"),
-        last.alias("days_to_last_follow_up"),
-        compact_json(nested_children("diagnoses", "treatments")).alias("treatments"),
-        compact_json("diagnoses").alias("diagnoses_json"),
-    )
-
-
 def leaf_rows(parents: DataFrame, keep: Sequence[str], levels: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Rows of the deepest level of nested arrays; a parent without any leaf gives one row of NULLs.
 
