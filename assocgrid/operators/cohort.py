@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from assocgrid.functions.finite import is_finite
 from assocgrid.functions.states import STATES, TUMOUR_TYPES, relative_change, state_code, state_name
 from assocgrid.operators.ordered import exact_quantiles, null_safe_join
+from assocgrid.operators.quality import duplicate_keys, enforced, unique_rows
 from assocgrid.operators.results import ResultTable
 
 
@@ -104,10 +106,35 @@ def feature_cohort(
 ) -> DataFrame:
     """One row per entity for one feature: value, baseline, state and representative expression.
 
-    ``values(entity, value, sample_type, project...)`` joined one-to-one to the baseline,
-    left-joined to the chosen representative, kept for the given sample types.
+    ``values(entity, value, sample_type, case_id, project_id...)`` joined one-to-one to the baseline and to
+    the chosen representative ``chosen(entity, file_id, case_id, project_id, ...)``, kept for the given sample
+    types. What ``cohort_problems`` lists ends the job; the checks ride on the joins' own shuffles.
     """
-    extra = chosen.select("entity", F.col(expression).alias("_raw"), F.col("file_id").alias("expression_file"))
-    rows = values.where(F.col("sample_type").isin(*types)).join(baselines, "entity").join(extra, "entity", "left")
-    rows = rows.withColumn("stratum", stratum).withColumn("expression", F.when(F.col("_raw") >= 0, F.log2(F.col("_raw") + 1)))
-    return classify(rows).drop("_raw")
+    joined = _cohort_rows(unique_rows(values, ["entity"], "repeated value"), unique_rows(baselines, ["entity"], "repeated baseline"), unique_rows(chosen, ["entity"], "repeated choice"), expression)
+    problem = _cohort_problem()
+    rows = enforced(joined, problem.isNull(), F.concat(problem, F.lit(": "), F.col("entity").cast("string"))).where(F.col("sample_type").isin(*types))
+    rows = rows.withColumn("stratum", stratum).withColumn("expression", F.log2(F.col("_raw") + 1))
+    return classify(rows).drop("_raw", "_case", "_project")
+
+
+def _cohort_rows(values: DataFrame, baselines: DataFrame, chosen: DataFrame, expression: str) -> DataFrame:
+    told = {"_raw": expression, "expression_file": "file_id", "_case": "case_id", "_project": "project_id"}
+    extra = chosen.select("entity", *[F.col(source).alias(name) for name, source in told.items()])
+    return values.join(baselines, "entity").join(extra, "entity", "left")
+
+
+def _cohort_problem() -> Column:
+    matched = F.col("expression_file").isNotNull()
+    return (
+        F.when(matched & ~F.col("case_id").eqNullSafe(F.col("_case")), "case differs")
+        .when(matched & ~F.col("project_id").eqNullSafe(F.col("_project")), "project differs")
+        .when(F.col("_raw") < 0, "negative expression")
+    )
+
+
+def cohort_problems(values: DataFrame, baselines: DataFrame, chosen: DataFrame, expression: str) -> DataFrame:
+    """entity and problem of everything that keeps ``feature_cohort`` from being built."""
+    tables = {"repeated value": values, "repeated baseline": baselines, "repeated choice": chosen}
+    found = [duplicate_keys(df, ["entity"]).select("entity", F.lit(problem).alias("problem")) for problem, df in tables.items()]
+    rows = _cohort_rows(values, baselines, chosen, expression).select("entity", _cohort_problem().alias("problem")).where("problem IS NOT NULL").distinct()
+    return reduce(DataFrame.union, found, rows)

@@ -32,6 +32,23 @@ def one_to_one_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str =
     return a.join(b, list(keys), how)
 
 
+def enforced(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
+    """``df``; a row that is not ``ok`` ends the job that meets it, so the check needs no pass of its own."""
+    told = F.lit(message) if isinstance(message, str) else message
+    return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(told)))
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df`` with one row per key; a repeated key ends the job.
+
+    The rows are gathered by their keys, so that a join on them that follows needs no other shuffle.
+    """
+    others = [c for c in df.columns if c not in keys]
+    gathered = df.groupBy(*keys).agg(F.any_value(F.struct(*others)).alias("_row"), F.count(F.lit(1)).alias("_times"))
+    message = F.concat(F.lit(f"{what}: "), F.to_json(F.struct(*keys)))
+    return enforced(gathered, F.col("_times") == 1, message).select(*keys, "_row.*")
+
+
 def bad_ids(df: DataFrame, column: str, pattern: str) -> DataFrame:
     text = F.col(column).cast("string")
     return df.where(text.isNull() | ~text.rlike(pattern)).select(column).distinct()

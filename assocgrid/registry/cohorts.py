@@ -131,16 +131,37 @@ def waterfall_order(spark: SparkSession, folder: str) -> DataFrame:
    FROM m JOIN base USING (entity) JOIN customer ON c_custkey = m.entity JOIN nation ON n_nationkey = c_nationkey LEFT JOIN rep ON rep.entity = m.entity
    WHERE feature = 'Brand#7' AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')""", ["entity", "stratum"], ["state_code"], ["value", "baseline", "expression"]))
 def feature_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
-    who = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("sample_type"), "n_name")
+    values, baselines, chosen = _cohort_parts(Tables(spark, folder))
+    out = cohort.feature_cohort(values, baselines, chosen, "raw", F.col("n_name"), ("BUILDING", "MACHINERY", "HOUSEHOLD"))
+    return rounded(out.select("entity", "stratum", "value", "baseline", "expression", "state_code"))
+
+
+def _cohort_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Values of one brand, baselines of all customers, and each customer's chosen order."""
+    who = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("sample_type"), "n_name", F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("project_id")
+    )
     values = long_matrix(t).where("feature = 'Brand#7'").join(who, "entity")
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity"))
     cells = t.lineitem.join(orders, "l_orderkey").select("entity", F.col("l_quantity").alias("value"))
     candidates = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("aliquot"), F.col("o_orderkey").alias("file_id"), (F.col("o_totalprice") / 1000).alias("raw"))
     wish = t.customer.select(F.col("c_custkey").alias("entity"), F.lit("F").alias("aliquot"))
     chosen = select.pick_representatives(candidates, wish, "entity", "aliquot", "file_id").where("selected")
-    out = cohort.feature_cohort(values, cohort.modal_baseline(cells, "entity", "value").select("entity", "baseline"), chosen, "raw", F.col("n_name"), ("BUILDING", "MACHINERY", "HOUSEHOLD"))
-    return rounded(out.select("entity", "stratum", "value", "baseline", "expression", "state_code"))
+    nations = t.customer.select(F.col("c_custkey").alias("entity"), F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("project_id"))
+    return values, cohort.modal_baseline(cells, "entity", "value").select("entity", "baseline"), chosen.select("entity", "file_id", "raw").join(nations, "entity")
+
+
+@add("cohort_problems", f"""WITH {M}, v AS (SELECT entity FROM m WHERE feature = 'Brand#7'), o AS (SELECT DISTINCT o_custkey AS entity FROM orders)
+   SELECT entity, 'repeated baseline' AS problem FROM o WHERE entity % 5 = 0
+   UNION ALL SELECT entity, 'case differs' FROM v JOIN o USING (entity) WHERE entity % 7 = 0
+   UNION ALL SELECT entity, 'project differs' FROM v JOIN o USING (entity) WHERE entity % 7 <> 0 AND entity % 11 = 0
+   UNION ALL SELECT entity, 'negative expression' FROM v JOIN o USING (entity) WHERE entity % 7 <> 0 AND entity % 11 <> 0 AND entity % 13 = 0""")
+def cohort_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """The cohort's parts with faults put into them: every kind but repeated values and choices."""
+    values, baselines, chosen = _cohort_parts(Tables(spark, folder))
+    entity = F.col("entity")
+    wrong = {"case_id": F.when(entity % 7 == 0, -1).otherwise(F.col("case_id")), "project_id": F.when(entity % 11 == 0, -1).otherwise(F.col("project_id")), "raw": F.when(entity % 13 == 0, -F.abs("raw") - 1).otherwise(F.col("raw"))}
+    return cohort.cohort_problems(values, baselines.union(baselines.where(entity % 5 == 0)), chosen.withColumns(wrong), "raw")
 
 
 # ---- choices among candidates -------------------------------------------------------

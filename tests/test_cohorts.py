@@ -113,3 +113,27 @@ def test_saved_selection_must_fit(spark):
     for changed in (candidates.limit(1), candidates.withColumn("entity", F.lit("c"))):
         with pytest.raises(quality.QualityError):
             select.apply_selection(changed, saved, "file", ["entity"])
+
+
+def test_cohort_stops_at_what_its_problems_list(spark):
+    values = spark.createDataFrame([(1, 3.0, "T", 1, "p"), (2, 1.0, "T", 2, "p"), (3, 2.0, "N", 3, "q")], "entity int, value double, sample_type string, case_id int, project_id string")
+    baselines = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 2.0)], "entity int, baseline double")
+    chosen = spark.createDataFrame([(1, "f1", 1, "p", 3.0), (3, "f3", 3, "q", None)], "entity int, file_id string, case_id int, project_id string, raw double")
+
+    def built(v=values, b=baselines, c=chosen):
+        return cohort.feature_cohort(v, b, c, "raw", F.col("project_id"), ("T",)).collect()
+
+    assert {(r.entity, r.expression, r.state_code) for r in built()} == {(1, 2.0, 1), (2, None, -1)}
+    faults = {
+        "repeated baseline": {"b": baselines.union(baselines.limit(1))},
+        "repeated value": {"v": values.union(values.limit(1))},
+        "repeated choice": {"c": chosen.union(chosen.limit(1))},
+        "case differs": {"c": chosen.withColumn("case_id", F.lit(9))},
+        "project differs": {"c": chosen.withColumn("project_id", F.lit("z"))},
+        "negative expression": {"c": chosen.withColumn("raw", F.lit(-0.5))},
+    }
+    for problem, parts in faults.items():
+        with pytest.raises(Exception, match=problem):
+            built(**parts)
+        listed = cohort.cohort_problems(parts.get("v", values), parts.get("b", baselines), parts.get("c", chosen), "raw")
+        assert {r.problem for r in listed.collect()} == {problem}
