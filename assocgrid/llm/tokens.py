@@ -3,7 +3,7 @@
 A byte-level pre-tokenizer never joins a character other than a white space with a white space that
 follows it, nor a letter with a point or comma behind it, so a text cut there encodes to the
 concatenation of its chunks. Each distinct chunk is encoded once per worker by the library; a text
-with other white space is encoded whole.
+with other white space, or with an added token such as an end mark, is encoded whole.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ class Chunks(dict):
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED_CHUNKS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.letters = byte_letters()
@@ -98,7 +98,7 @@ class Encoder:
             new.clear()
         sizes = self.size[codes]
         owner = np.repeat(np.arange(len(texts)), counts)
-        odd = set(np.unique(owner[sizes < 0]).tolist())
+        odd = set(np.unique(owner[sizes < 0]).tolist()) | {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
         held = np.bincount(owner, weights=np.maximum(sizes, 0), minlength=len(texts)).astype(np.int64)
         tail = [] if end is None else [np.array([end], np.uint32)]
         parts = []

@@ -15,14 +15,12 @@ from tokenizers import Tokenizer
 from assocgrid.llm import mixing, orc_ids, packing, tokens, url_filter
 from assocgrid.storage import new_path
 
-TEXTS = ["", None, "  a  b", "\n\n x \t y ", "it's  you'll\n\n\nok ", "日本語　テキスト", "a\x1c!\x1c b", "abc.,def, ghi.\n", "<|endoftext|> a", "\x85x ſtop. ŉ'll,", "word " * 3000, "é" * 2500]
+TEXTS = ["", None, "  a  b", "\n\n x \t y ", "it's  you'll\n\n\nok ", "日本語　テキスト", "a\x1c!\x1c b", "abc.,def, ghi.\n", "<|endoftext|> a", "a<|endoftext|>b <|endof text|>", "\x85x ſtop. ŉ'll,", "word " * 3000, "é" * 2500]
 
 
 @lru_cache
 def tokenizer():
-    t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_tokenizer())
 
 
 def plain_ids(text):
@@ -209,3 +207,15 @@ def test_orc_files_have_stripes_filters_and_order(spark, tmp_path):
     found = orc_ids.read_ids(spark, path, [70, 71, 700])
     assert sorted(r.doc_id for r in found.collect()) == [70, 700]
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def test_rows_of_one_id_start_where_the_file_has_them(spark):
+    texts = ["b " * 60, "c", "a", None, "<|endoftext|>"]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in orc_ids.encode_corpus(spark, docs).collect())
+    want, start = [], 0
+    for text in sorted(texts, key=lambda t: (t is not None, t or "")):
+        ids = plain_ids(text)
+        want.append((start, len(ids), checksum(ids)))
+        start += len(ids)
+    assert got == want
