@@ -59,23 +59,27 @@ def selection_problems(candidates: DataFrame, saved: DataFrame, file: str, field
 
 
 def pick_by_priority(
-    rows: DataFrame, entity: str, method: str, priority: Mapping[str, int], order: Sequence[str]
+    rows: DataFrame, entity: str, method: str, priority: Mapping[str, int], order: Sequence[str], name: str | None = None
 ) -> DataFrame:
     """One row per entity by method priority and ``order``, with what else was available.
 
-    Adds ``available_methods`` (in priority order) and ``same_method_candidates``.  Rows
-    with an unknown method must be rejected first (see ``unknown_methods``).
+    Adds ``available_methods`` (in priority order) and ``same_method_candidates``; with a ``name``
+    column also ``candidate_ids``, the names of all the entity's rows in the order of choice, joined by ; Rows with an
+    unknown method must be rejected first (see ``unknown_methods``).
     """
     ranked = rows.withColumn("_priority", map_code(method, {k: str(v) for k, v in priority.items()}).cast("int"))
     rest = [c for c in rows.columns if c not in (entity, method)]
+    in_order = F.sort_array(F.collect_list(F.struct(*order, F.col(name).cast("string").alias("_name")))) if name else None
+    names = [F.array_join(F.transform(in_order, lambda c: c["_name"]), ";").alias("_names")] if name else []
     by_method = ranked.groupBy(entity, method, "_priority").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("_n")
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("_n"), *names
     )
     # one row per entity and method: bounded by the number of methods
-    methods = F.sort_array(F.collect_list(F.struct("_priority", method)))
+    methods = F.sort_array(F.collect_list(F.struct("_priority", method, *(["_names"] if name else []))))
     best = by_method.groupBy(entity).agg(
         F.min_by(F.struct(method, "_row", "_n"), "_priority").alias("_best"),
         F.array_join(F.transform(methods, lambda m: m[method]), ";").alias("available_methods"),
+        *([F.array_join(F.transform(methods, lambda m: m["_names"]), ";").alias("candidate_ids")] if name else []),
     )
     return best.select(
         entity,
@@ -83,6 +87,7 @@ def pick_by_priority(
         *[F.col("_best")["_row"][c].alias(c) for c in rest],
         "available_methods",
         F.col("_best")["_n"].alias("same_method_candidates"),
+        *(["candidate_ids"] if name else []),
     )
 
 

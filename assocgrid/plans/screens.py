@@ -328,8 +328,11 @@ def stratum_correlations(df: DataFrame, stratum: str, x: str, y: str, min_n: int
 def listed_stratum_correlations(
     df: DataFrame, strata: DataFrame, stratum: str, x: str, y: str, min_n: int = MIN_STRATUM
 ) -> DataFrame:
-    """The same over a given list of strata, each with a status; absent strata have n = 0."""
-    rows = finite_pairs(df, x, y)
+    """The same over a given list of strata, each with a status; absent strata have n = 0.
+
+    Rows of strata that are not listed, or unknown, go before anything is sorted.
+    """
+    rows = finite_pairs(df, x, y).join(strata.select(stratum).where(F.col(stratum).isNotNull()).distinct(), stratum, "left_semi")
     core = pair_correlations(rows, [stratum], x, y, min_n)
     medians = exact_quantiles(rows, [stratum], x, {"x_median": 0.5}).drop("n")
     out = strata.select(stratum).join(core, stratum, "left").join(medians, stratum, "left").fillna({"n": 0})

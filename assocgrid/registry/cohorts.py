@@ -193,12 +193,13 @@ def selection_problems(spark: SparkSession, folder: str) -> DataFrame:
 PRIORITY = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
 
 
-@add("priority_pick", """SELECT entity, o_orderpriority, o_orderkey, available_methods, same_method_candidates FROM (SELECT o_custkey AS entity, o_orderpriority, o_orderkey,
-    count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS same_method_candidates, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey) AS k FROM orders)
+@add("priority_pick", """SELECT entity, o_orderpriority, o_orderkey, available_methods, same_method_candidates, candidate_ids FROM (SELECT o_custkey AS entity, o_orderpriority, o_orderkey,
+    count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS same_method_candidates,
+    string_agg(CAST(o_orderkey AS VARCHAR), ';') OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS candidate_ids, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey) AS k FROM orders)
    JOIN (SELECT o_custkey AS entity, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS available_methods FROM orders GROUP BY 1) USING (entity) WHERE k = 1""")
 def priority_pick(spark: SparkSession, folder: str) -> DataFrame:
     rows = Tables(spark, folder).orders.select(F.col("o_custkey").alias("entity"), "o_orderpriority", "o_orderstatus", "o_orderkey")
-    return select.pick_by_priority(rows, "entity", "o_orderpriority", PRIORITY, ["o_orderstatus", "o_orderkey"]).drop("o_orderstatus")
+    return select.pick_by_priority(rows, "entity", "o_orderpriority", PRIORITY, ["o_orderstatus", "o_orderkey"], "o_orderkey").drop("o_orderstatus")
 
 
 @add("unknown_methods", "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
@@ -358,17 +359,19 @@ def resolve_versioned(spark: SparkSession, folder: str) -> DataFrame:
     return part.where(F.col("feature_id") == found).select("p_partkey")
 
 
-@add("barcode_parts", """WITH b AS (SELECT 'TCGA-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '-' || lpad(CAST(c_custkey % 16 AS VARCHAR), 2, '0') AS barcode FROM customer),
+TYPE_CASES = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in labels.SAMPLE_TYPE_BY_CODE.items())
+
+
+@add("barcode_parts", f"""WITH b AS (SELECT 'TCGA-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '-' || lpad(CAST(c_custkey % 41 AS VARCHAR), 2, '0') AS barcode FROM customer),
    c AS (SELECT barcode, substr(barcode, 1, 12) AS patient, substr(barcode, 14, 2) AS code FROM b)
-   SELECT *, CASE WHEN code BETWEEN '01' AND '09' THEN 'Tumour' WHEN code BETWEEN '10' AND '14' THEN 'Normal' ELSE 'Other' END AS kind, substr(barcode, 6) AS stripped,
-   CASE WHEN code = '01' THEN 'Primary Solid Tumor' WHEN code = '11' THEN 'Solid Tissue Normal' END AS type_name FROM c""")
+   SELECT *, CASE WHEN code BETWEEN '01' AND '09' OR code = '40' THEN 'Tumour' WHEN code BETWEEN '10' AND '14' THEN 'Normal' ELSE 'Other' END AS kind, substr(barcode, 6) AS stripped,
+   CASE code {TYPE_CASES} END AS type_name FROM c""")
 def barcode_parts(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
-    barcode = F.concat(F.lit("TCGA-"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-"), F.lpad(key.cast("string"), 4, "0"), F.lit("-"), F.lpad((key % 16).cast("string"), 2, "0"))
+    barcode = F.concat(F.lit("TCGA-"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-"), F.lpad(key.cast("string"), 4, "0"), F.lit("-"), F.lpad((key % 41).cast("string"), 2, "0"))
     rows = Tables(spark, folder).customer.select(barcode.alias("barcode"))
     rows = rows.withColumns({"patient": labels.patient_part("barcode"), "code": labels.type_code_part("barcode")})
-    name = labels.sample_type("code")
-    return rows.withColumns({"kind": states.sample_kind_from_code("code"), "stripped": labels.strip_prefix("barcode", "TCGA-"), "type_name": F.when(F.col("code").isin("01", "11"), name)})
+    return rows.withColumns({"kind": states.sample_kind_from_code("code"), "stripped": labels.strip_prefix("barcode", "TCGA-"), "type_name": labels.sample_type("code")})
 
 
 @add("dataset_names", """SELECT p_name, CASE WHEN p_name LIKE 'red%' THEN 'colour_red' WHEN p_name LIKE 'small%' THEN 'size_small' END AS dataset, count(*) AS n FROM part

@@ -285,9 +285,9 @@ def _files(t: Tables) -> DataFrame:
         aliquot = F.struct(F.concat(F.lit(f"a{code}-"), key, F.lit("-")).alias("aliquot_id"), F.lit("").alias("submitter_id"))
         real = F.array(F.struct(F.array(F.struct(F.array(aliquot).alias("aliquots"))).alias("analytes")))
         portions = F.when(F.col("o_orderstatus") != "P", real)
-        return F.struct(F.concat(F.lit(f"s{code}-"), key).alias("sample_id"), F.concat(F.lit(f"TCGA-AB-0000-{code}")).alias("submitter_id"), portions.alias("portions"))
+        return F.struct(F.concat(F.lit(f"s{code}-"), key).alias("sample_id"), F.lit(f"TCGA-AB-0000-{code}").alias("submitter_id"), F.lit("Primary Tumor" if code == "01" else "Blood Derived Normal").alias("sample_type"), portions.alias("portions"))
 
-    case = F.struct(F.lit("P1").alias("project_id"), F.col("o_custkey").alias("case_id"), F.array(sample("01"), sample("10")).alias("samples"))
+    case = F.struct(F.lit("P1").alias("project_id"), F.col("o_custkey").alias("case_id"), F.concat(F.lit("TCGA-"), F.col("o_custkey").cast("string")).alias("submitter_id"), F.array(sample("01"), sample("10")).alias("samples"))
     name = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("seg_a10-"), key, F.lit("-.txt"))).otherwise("plain.txt")
     kind = F.when(F.col("o_orderpriority") < "3", "Gene Level Copy Number").otherwise("Other")
     linked = F.when(F.col("o_orderpriority") == "5-LOW", F.array(F.concat(F.lit("a01-"), key, F.lit("-")))).otherwise(F.array().cast("array<string>"))
@@ -298,23 +298,23 @@ ENTITIES = """e AS (SELECT o_orderkey AS file_id, o_orderstatus, o_orderpriority
    FROM orders, (SELECT unnest(['01', '10']) AS code) WHERE o_orderpriority <> '5-LOW' OR (code = '01' AND o_orderstatus <> 'P'))"""
 
 
-@add("file_entities", f"WITH {ENTITIES} SELECT file_id, 's' || code || '-' || file_id AS sample_id, aliquot_id FROM e")
+@add("file_entities", f"""WITH {ENTITIES} SELECT file_id, 's' || code || '-' || file_id AS sample_id, 'TCGA-AB-0000-' || code AS sample, CASE code WHEN '01' THEN 'Primary Tumor' ELSE 'Blood Derived Normal' END AS sample_type,
+   aliquot_id, (SELECT o_custkey FROM orders WHERE o_orderkey = file_id) AS case_id, 'TCGA-' || (SELECT o_custkey FROM orders WHERE o_orderkey = file_id) AS "case" FROM e""")
 def file_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.file_entities(_files(Tables(spark, folder))).select("file_id", "sample_id", "aliquot_id")
+    return nested.file_entities(_files(Tables(spark, folder))).select("file_id", "sample_id", "sample", "sample_type", "aliquot_id", "case_id", "case")
 
 
 @add("target_entities", f"""WITH {ENTITIES}, k AS (SELECT *, CASE WHEN o_orderpriority = '5-LOW' THEN 'only entity' WHEN o_orderstatus = 'F' THEN 'named in file name'
      WHEN o_orderpriority < '3' THEN 'only tumour of a tumour-normal pair' ELSE '' END AS mapping_method FROM e)
    SELECT file_id, 's' || code || '-' || file_id AS sample_id, mapping_method FROM k WHERE mapping_method IN ('only entity', '') OR (mapping_method = 'named in file name' AND code = '10') OR (mapping_method LIKE 'only tumour%' AND code = '01')""")
 def target_entities(spark: SparkSession, folder: str) -> DataFrame:
-    found = nested.target_entities(nested.file_entities(_files(Tables(spark, folder))))
+    found = nested.target_entities(_files(Tables(spark, folder)))
     return found.select("file_id", "sample_id", "mapping_method")
 
 
 @add("matched_normals", "SELECT o_orderkey AS file_id, 'a10-' || o_orderkey || '-' AS aliquot_id FROM orders WHERE o_orderpriority < '3' AND o_orderstatus = 'O'")
 def matched_normals(spark: SparkSession, folder: str) -> DataFrame:
-    entities = nested.file_entities(_files(Tables(spark, folder)))
-    return nested.matched_normals(entities, nested.target_entities(entities))
+    return nested.matched_normals(_files(Tables(spark, folder)))
 
 
 @add("json_fields", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props, coalesce(lower(event_type) IN ('true', '1', 'yes'), false) AS flag, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 0 THEN round(value / CAST(json_extract_string(props, '$.k') AS BIGINT), 9) + 0.0 END AS ratio FROM events")
@@ -416,25 +416,26 @@ def recomputation(spark: SparkSession, folder: str) -> DataFrame:
     return quality.recomputation_differences(changed, again, ["l_suppkey"], ["mean", "n"])
 
 
-@add("baseline_recount", f"WITH {CELL} SELECT entity FROM cell GROUP BY entity HAVING false")
+@add("baseline_recount", f"WITH {CELL} SELECT DISTINCT entity FROM cell WHERE value IS NOT NULL AND entity % 10 = 0")
 def baseline_recount(spark: SparkSession, folder: str) -> DataFrame:
-    # an independent recount (the built-in mode, lowest on ties) must give the same baseline
+    """Stored baselines against a recount (the built-in mode, lowest on ties): those of every tenth entity are put off here."""
     t = Tables(spark, folder)
     again = _cells(t).groupBy("entity").agg(F.mode("value", True).alias("again"))
-    return _baselines(t).join(again, "entity", "full_outer").where(~F.col("baseline").eqNullSafe(F.col("again"))).select("entity")
+    stored = _baselines(t).withColumn("baseline", F.when(F.col("entity") % 10 == 0, F.col("baseline") + 1).otherwise(F.col("baseline")))
+    return stored.join(again, "entity", "full_outer").where(~F.col("baseline").eqNullSafe(F.col("again"))).select("entity")
 
 
 @add("table_compare", """WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * (1 + 1e-9) WHEN o_totalprice < 50000 THEN NULL ELSE o_totalprice END AS p, CASE WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE o_orderpriority END AS q FROM orders WHERE o_totalprice < 440000),
    j AS (SELECT o.*, b.p, b.q, b.o_orderkey IS NOT NULL AS paired FROM orders o LEFT JOIN b USING (o_orderkey))
-   SELECT 'o_totalprice' AS "column", count(*) FILTER (WHERE paired AND p IS DISTINCT FROM o_totalprice) AS n_different, count(*) FILTER (WHERE paired AND p IS NULL) AS n_null_mask, count(*) FILTER (WHERE NOT paired) AS n_one_side FROM j
-   UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE paired AND q <> o_orderpriority), 0, count(*) FILTER (WHERE NOT paired) FROM j""")
+   SELECT 'o_totalprice' AS "column", count(*) FILTER (WHERE paired AND p IS DISTINCT FROM o_totalprice) AS n_different, count(*) FILTER (WHERE paired AND p IS NULL) AS n_null_mask, max(abs(p - o_totalprice)) AS max_error, count(*) FILTER (WHERE NOT paired) AS n_one_side FROM j
+   UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE paired AND q <> o_orderpriority), 0, NULL, count(*) FILTER (WHERE NOT paired) FROM j""")
 def table_compare(spark: SparkSession, folder: str) -> DataFrame:
     a = Tables(spark, folder).orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
     price = F.col("o_totalprice")
     b = a.where("o_totalprice < 440000").join(Tables(spark, folder).orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
     b = b.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "P", price * (1 + 1e-9)).when(price >= 50000, price))
     b = b.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "low").otherwise(F.col("o_orderpriority"))).drop("o_orderstatus")
-    return quality.compare_tables(a, b, ["o_orderkey"]).drop("max_error")
+    return quality.compare_tables(a, b, ["o_orderkey"])
 
 
 @add("percentage_problems", final("SELECT l_returnflag, sum(percentage) AS total FROM (SELECT l_returnflag, l_linenumber, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS percentage FROM lineitem GROUP BY 1, 2) WHERE l_returnflag <> 'R' OR l_linenumber > 1 GROUP BY 1 HAVING abs(sum(percentage) - 100) > 1e-9", ["l_returnflag"], [], ["total"]))

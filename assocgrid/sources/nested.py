@@ -73,78 +73,86 @@ def leaf_rows(parents: DataFrame, keep: Sequence[str], levels: Sequence[tuple[st
     return rows.select(*keep, *[F.col("_leaf")[f].alias(f) for f in names])
 
 
-def file_entities(files: DataFrame) -> DataFrame:
-    """Samples a file is associated with, down to aliquots, else at sample level.
+ENTITY_FIELDS = ("project_id", "case_id", "case", "sample_id", "sample", "sample_type", "aliquot_id", "aliquot")
+
 
-    ``files(file_id, file_name, data_type, associated array<string>, cases array<...>)``;
-    an empty association list accepts every entity of the file's own cases.
+def with_entities(files: DataFrame) -> DataFrame:
+    """(file_id, file_name, data_type, entities): what each file is associated with, in one array of its row.
+
+    ``files(file_id, file_name, data_type, associated array<string>, cases array<...>)``; entities are aliquots,
+    or samples where no aliquot is associated; an empty association list accepts all of the file's own cases.
     """
-    base = files.select("file_id", "file_name", "data_type", "associated", F.explode_outer("cases").alias("case"))
-    base = base.select("file_id", "file_name", "data_type", "associated", "case", F.explode_outer("case.samples").alias("sample"))
     free = F.coalesce(F.size("associated"), F.lit(0)) <= 0
-    aliquots = (
-        base.select("file_id", "file_name", "data_type", "associated", "case", "sample", F.explode("sample.portions").alias("portion"))
-        .select("file_id", "file_name", "data_type", "associated", "case", "sample", F.explode("portion.analytes").alias("analyte"))
-        .select("file_id", "file_name", "data_type", "associated", "case", "sample", F.explode("analyte.aliquots").alias("aliquot"))
-    )
-    linked = free | F.array_contains("associated", F.col("aliquot.aliquot_id")) | F.array_contains("associated", F.col("aliquot.submitter_id"))
-    deep = aliquots.where(F.coalesce(linked, F.lit(False))).select(*_entity_columns("aliquot.aliquot_id", "aliquot.submitter_id"))
-    sample_linked = free | F.array_contains("associated", F.col("sample.sample_id")) | F.array_contains("associated", F.col("sample.submitter_id"))
-    shallow = base.where(F.coalesce(sample_linked, F.lit(False)) & F.col("sample").isNotNull()).select(*_entity_columns(None, None))
-    shallow = shallow.join(deep.select("file_id").distinct(), "file_id", "left_anti")
-    return deep.unionByName(shallow)
-
-
-def _entity_columns(aliquot_id: str | None, aliquot: str | None) -> list[Column]:
-    return [
-        F.col("file_id"),
-        F.col("file_name"),
-        F.col("data_type"),
-        F.col("case.project_id").alias("project_id"),
-        F.col("case.case_id").alias("case_id"),
-        F.col("sample.sample_id").alias("sample_id"),
-        F.col("sample.submitter_id").alias("sample"),
-        (F.col(aliquot_id) if aliquot_id else F.lit("")).alias("aliquot_id"),
-        (F.col(aliquot) if aliquot else F.lit("")).alias("aliquot"),
-    ]
-
-
-def target_entities(entities: DataFrame) -> DataFrame:
-    """The entity a file is about: the only one, the one named in the file name, or the only tumour.
 
-    Files for which none of these decides keep all their entities with an empty method.
-    """
-    named = (
-        ((F.col("aliquot_id") != "") & F.expr("contains(file_name, aliquot_id)"))
-        | ((F.col("aliquot") != "") & F.expr("contains(file_name, aliquot)"))
-    )
-    marked = entities.withColumn("_named", F.coalesce(named, F.lit(False))).withColumn(
-        "_tumour", F.coalesce(type_code_part("sample").isin(*TUMOUR_CODES), F.lit(False))
-    )
-    facts = marked.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("_named").alias("_n_named"), F.count_if("_tumour").alias("_n_tumour")
-    )
-    rows = marked.join(facts, "file_id")
+    def linked(item: Column, own_id: str) -> Column:
+        named = F.array_contains("associated", item[own_id]) | F.array_contains("associated", item["submitter_id"])
+        return F.coalesce(free | named, F.lit(False))
+
+    def entity(case: Column, sample: Column, aliquot_id: Column, aliquot: Column) -> Column:
+        values = [case["project_id"], case["case_id"], case["submitter_id"], sample["sample_id"], sample["submitter_id"], sample["sample_type"], aliquot_id, aliquot]
+        return F.struct(*[v.alias(name) for v, name in zip(values, ENTITY_FIELDS, strict=True)])
+
+    def inner(item: Column, field: str, step) -> Column:
+        """What ``step`` gives for each child, in one array; an absent list of children gives none."""
+        return F.flatten(F.filter(F.transform(item[field], step), lambda found: found.isNotNull()))
+
+    def aliquots(case: Column, sample: Column) -> Column:
+        def of_analyte(analyte: Column) -> Column:
+            near = F.filter(analyte["aliquots"], lambda a: linked(a, "aliquot_id"))
+            return F.transform(near, lambda a: entity(case, sample, a["aliquot_id"], a["submitter_id"]))
+
+        return inner(sample, "portions", lambda portion: inner(portion, "analytes", of_analyte))
+
+    whole = F.struct(F.filter("cases", lambda c: c.isNotNull()).alias("cases"))
+    deep = inner(whole, "cases", lambda c: inner(c, "samples", lambda s: aliquots(c, s)))
+    shallow = inner(whole, "cases", lambda c: F.transform(F.filter(c["samples"], lambda s: linked(s, "sample_id")), lambda s: entity(c, s, F.lit(""), F.lit(""))))
+    return files.select("file_id", "file_name", "data_type", F.when(F.size(deep) > 0, deep).otherwise(shallow).alias("entities"))
+
+
+def _entity_rows(files: DataFrame, entities: Column, *more: str) -> DataFrame:
+    return files.select("file_id", "file_name", "data_type", *more, F.explode(entities).alias("_e")).select("file_id", "file_name", "data_type", *[F.col(f"_e.{f}").alias(f) for f in ENTITY_FIELDS], *more)
+
+
+def file_entities(files: DataFrame) -> DataFrame:
+    """One row per entity of ``with_entities``."""
+    return _entity_rows(with_entities(files), F.col("entities"))
+
+
+def _targets(files: DataFrame) -> DataFrame:
+    """``with_entities`` with the entities a file is about and how they were found; a file's row decides alone."""
+
+    def named(e: Column) -> Column:
+        return F.coalesce(((e["aliquot_id"] != "") & F.contains("file_name", e["aliquot_id"])) | ((e["aliquot"] != "") & F.contains("file_name", e["aliquot"])), F.lit(False))
+
+    def tumour(e: Column) -> Column:
+        return F.coalesce(type_code_part(e["sample"]).isin(*TUMOUR_CODES), F.lit(False))
+
+    rows = with_entities(files).withColumns({"_named": F.filter("entities", named), "_tumours": F.filter("entities", tumour)})
     somatic = F.col("data_type").isin(*TUMOUR_ONLY_DATA)
     method = (
-        F.when(F.col("_n") == 1, "only entity")
-        .when(F.col("_n_named") == 1, "named in file name")
-        .when(somatic & (F.col("_n_tumour") == 1), "only tumour of a tumour-normal pair")
+        F.when(F.size("entities") == 1, "only entity")
+        .when(F.size("_named") == 1, "named in file name")
+        .when(somatic & (F.size("_tumours") == 1), "only tumour of a tumour-normal pair")
         .otherwise("")
     )
     rows = rows.withColumn("mapping_method", method)
-    keep = (
-        F.when(F.col("mapping_method") == "named in file name", F.col("_named"))
-        .when(F.col("mapping_method") == "only tumour of a tumour-normal pair", F.col("_tumour"))
-        .otherwise(F.lit(True))
-    )
-    return rows.where(keep).drop("_named", "_tumour", "_n", "_n_named", "_n_tumour")
+    chosen = F.when(F.col("mapping_method") == "named in file name", F.col("_named")).when(F.startswith("mapping_method", F.lit("only tumour")), F.col("_tumours"))
+    return rows.withColumn("targets", chosen.otherwise(F.col("entities")))
+
+
+def target_entities(files: DataFrame) -> DataFrame:
+    """The entity a file is about: the only one, the one named in the file name, or the only tumour.
+
+    Files for which none of these decides keep all their entities with an empty method.
+    """
+    return _entity_rows(_targets(files), F.col("targets"), "mapping_method")
 
 
-def matched_normals(entities: DataFrame, targets: DataFrame) -> DataFrame:
+def matched_normals(files: DataFrame) -> DataFrame:
     """The other entities of files resolved to their only tumour, one row each."""
-    pairs = targets.where(F.col("mapping_method") == "only tumour of a tumour-normal pair").select("file_id", F.col("aliquot_id").alias("_target"))
-    return entities.join(pairs, "file_id").where(F.col("aliquot_id") != F.col("_target")).select("file_id", "aliquot_id")
+    paired = _targets(files).where(F.startswith("mapping_method", F.lit("only tumour")))
+    others = F.filter("entities", lambda e: e["aliquot_id"] != F.element_at("targets", 1)["aliquot_id"])
+    return _entity_rows(paired, others).select("file_id", "aliquot_id")
 
 
 def summary_table(df: DataFrame, module: str, keep: Sequence[str] = ()) -> DataFrame:
