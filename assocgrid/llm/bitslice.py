@@ -8,8 +8,9 @@ complements and a constant. The sums are bitmaps again: the best rows are found
 most significant slice downward, keeping the rows that must be in and those still tied; ties at the
 boundary go to the smallest id. A query's best rows of all blocks are merged at the end.
 
-Blocks of rows meet blocks of queries by an equi-join on the row block's number. Vectors that are
-null or hold a null or non-finite component take no part; a shorter vector counts as zero in the
+Blocks of rows meet blocks of queries by an equi-join on the row block's number; few row blocks are
+dealt to several tasks each, with a share of the queries. Vectors that are null or hold a null or
+non-finite component take no part, nor do rows without an id; a shorter vector counts as zero in the
 components it lacks; rows of a repeated id are candidates each, and one query (of the least vector);
 an empty table gives no rows; further columns are ignored. A row is no candidate of a query of its
 own id.
@@ -46,7 +47,8 @@ def usable(vector: Column) -> Column:
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and the integer components of the usable vectors."""
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
-    return vectors.filter(usable(F.col("embedding").cast("array<double>"))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    named = vectors.filter(F.col("vec_id").cast("long").isNotNull())
+    return named.filter(usable(F.col("embedding").cast("array<double>"))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def matrix(column: pa.ListArray, dims: int | None = None) -> np.ndarray:
@@ -184,18 +186,36 @@ def search_block(queries: np.ndarray, query_ids: list, ids: np.ndarray, least: i
     return out
 
 
+def in_order(index: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks numbered from 0 without gaps (``_block``), and how many there are.
+
+    A block's name holds its task above 32 bits and its turn there below; only the tasks' totals are summed up.
+    """
+    task, turn = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    counts = index.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(counts.select("_task", "_n", before.alias("_before")), "row-blocks")
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    named = index.withColumn("_task", task).join(offsets.select("_task", "_before"), "_task")
+    return named.withColumn("_block", F.col("_before") + turn).drop("_task", "_before"), total
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of the index for ``queries(vec_id, v)``."""
     blocks = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = blocks.withColumn("_part", F.spark_partition_id()).withColumn("_turn", F.floor(F.monotonically_increasing_id() / query_block))
     # written once: a task that is repeated must not deal the queries out anew
     packed = materialize(blocks.groupBy("_part", "_turn").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")), "query-blocks")
-    # a stated query set against all rows, block by block: every query block is sent to every row block
-    listed = index.agg(F.collect_list("block").alias("block")).scalar()
-    sent = packed.select("queries", F.explode(listed).alias("_block"))
     # as many tasks as the session has shuffle partitions: the rows are few, but each is much work
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = sent.repartition(tasks, "_block").join(index.repartition(tasks, "block"), F.col("_block") == F.col("block")).select("queries", "ids", "least", "bits", "dims", "slices")
+    numbered, total = in_order(index)
+    deals = max(1, -(-2 * tasks // max(1, total)))
+    # a stated query set against all rows, block by block: every query block is sent to every row block
+    share = F.pmod(F.xxhash64("_part", "_turn"), F.lit(deals)).cast("int").alias("_deal")
+    sent = packed.select("queries", share, F.explode(F.sequence(F.lit(0), F.lit(total - 1).cast("long"))).alias("_block")) if total else packed.select("queries", share, F.lit(0).cast("long").alias("_block"))
+    rows = numbered.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    met = sent.repartition(tasks, "_block", "_deal").join(rows.repartition(tasks, "_block", "_deal"), ["_block", "_deal"])
+    met = met.select("queries", "ids", "least", "bits", "dims", "slices")
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assocgrid.llm.names import free
 from assocgrid.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,7 +108,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, in the columns of ``docs``."""
     taken = mix(docs, weights, share, max_repeats, seed).filter(F.col("taken") > 0)
-    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("repeats").alias("_repeats")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_of"))
+    own_id, of, repeats, copy = free(docs.columns, "_id", "_of", "_repeats", "_copy")
+    plan = taken.select(F.col("doc_id").alias(own_id), F.col("source").alias(of), F.col("repeats").alias(repeats)).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").cast("string").eqNullSafe(F.col(of))
     counted = docs.join(plan, on)
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeats)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,8 @@ each, and ``l`` among the first ``n - ceil(t * n) + l``. Three orders are used:
 * by order of magnitude of the count, ties by another hash: documents that met must share a prefix
   shingle here too, else they are not verified.
 
-What passes is verified on the whole sets. Texts with equal sets are one class from the start, and
+What passes is verified on the whole sets. Texts with equal sets are one class from the start, a node
+with a number of its own whatever ids its texts have, and
 ``links.connect`` finds the groups without listing the pairs inside a group. Counts are partial
 aggregates: before the shuffle a task sends a shingle that several of its texts share once only.
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assocgrid.llm import links
+from assocgrid.llm.names import free
 from assocgrid.llm.tokens import portions, slices
 from assocgrid.llm.words import U, mixed, shingle_sets
 from assocgrid.storage import materialize
@@ -62,7 +64,7 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """One row per document: set size and key, and its prefix under the hash order.
+    """One row per document: a checksum of its text, set size and key, and its prefix under the hash order.
 
     ``tokens`` holds the prefix shingles to be counted, the lowest bit set where the document still
     needs to know; ``known`` counts those that another text of the same batch has been seen to share.
@@ -88,13 +90,17 @@ def sketches(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFr
                 value = np.where(several, flat & ~U(1), flat)[sent].view(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[sent], minlength=len(own)))]).astype(np.int32)
                 columns = [
-                    batch.column(0).slice(a, b - a), pa.array(n), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                     pa.array(known, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "low", "high", "known", "tokens"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "low", "high", "known", "tokens"])
 
-    schema = "doc_id long, n long, low long, high long, known long, tokens array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+    schema = "doc_id long, mark string, n long, low long, high long, known long, tokens array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("mark")).mapInArrow(rows, schema)
+
+
+def text_mark() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
 def shared_counts(rows: DataFrame) -> DataFrame:
@@ -131,7 +137,7 @@ def shared_counts(rows: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, tokens of the texts of ``wanted(node, low, high)``; the node is a document's id."""
+    """node, n, tokens of the sets of ``wanted(node, least, low, high)``; ``least`` is a document that has the set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
@@ -142,12 +148,13 @@ def shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
                 columns = [batch.column(0).slice(a, b - a), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "low", "high", "tokens"])
+                yield pa.RecordBatch.from_arrays(columns, names=["least", "low", "high", "tokens"])
 
-    ids = links.few(wanted.select(F.col("node").alias("_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = texts.mapInArrow(rows, "node long, low long, high long, tokens array<long>")
-    return sets.join(wanted.select("node", "low", "high"), ["node", "low", "high"], "left_semi").dropDuplicates(["node", "low", "high"]).select("node", F.size("tokens").cast("long").alias("n"), "tokens")
+    ids = links.few(wanted.select(F.col("least").alias("_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    sets = texts.mapInArrow(rows, "least long, low long, high long, tokens array<long>")
+    named = sets.join(wanted.select("node", "least", "low", "high"), ["least", "low", "high"]).dropDuplicates(["node"])
+    return named.select("node", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
 def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -164,14 +171,15 @@ def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return shared.filter(length > 0).select("node", "n", by_count.alias("rare"), by_scale.alias("other"))
 
 
-def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links reach, of every row."""
+def placed_rows(spark: SparkSession, docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, mark, n and component_id of every row, and the name of its component: a number, NULL without links."""
     rows = materialize(sketches(docs, width, similarity), "sketches")
     useful = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(useful.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "classes")
+    classes = useful.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     counts = shared_counts(useful.select("tokens", "low")).union(useful.filter(F.col("known") > 0).select("low", F.col("known").alias("shared")))
     counts = counts.groupBy(F.col("low").alias("_low")).agg(F.sum("shared").alias("shared"))
-    wanted = classes.join(counts, F.col("low") == F.col("_low")).filter(F.col("shared") >= spare(F.col("n"))).select("node", "low", "high")
+    wanted = classes.join(counts, F.col("low") == F.col("_low")).filter(F.col("shared") >= spare(F.col("n"))).select("node", "least", "low", "high")
     sets = materialize(shingled(docs, materialize(wanted, "wanted"), width), "sets")
     prefix = materialize(prefixes(sets, similarity), "prefixes")
     top, bottom = similarity
@@ -192,13 +200,28 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
 
     meetings = materialize(prefix.select("node", "n", F.explode("rare").alias("r")).select(F.col("r.key").alias("key"), "node", "n", F.col("r.at").alias("at")), "meetings")
     found = links.connect(spark, meetings, verify, possible, ["n", "at"])
-    placed = classes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("low", "high", F.coalesce("component", "node").alias("_component"))
-    joined = rows.alias("r").join(placed.alias("p"), (F.col("r.low") == F.col("p.low")) & (F.col("r.high") == F.col("p.high")) & F.col("r.doc_id").isNotNull(), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    linked = materialize(classes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("component", "node")), "class-groups")
+    least = linked.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("_least"))
+    placed = linked.join(links.few(materialize(least, "group-ids")), F.col("group") == F.col("_group")).select("low", "high", "group", F.col("_least").alias("component_id"))
+    joined = rows.alias("r").join(placed.alias("p"), (F.col("r.low") == F.col("p.low")) & (F.col("r.high") == F.col("p.high")) & F.col("r.doc_id").isNotNull() & (F.col("r.n") > 0), "left")
+    return joined.select("doc_id", "mark", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links reach, of every row."""
+    return placed_rows(spark, docs, width, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group, the one of the smallest id; rows without an id stay."""
-    kept = groups(spark, docs, width, similarity).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with one row of each group: the smallest id, of its texts the one of the smallest checksum.
+
+    Rows without shingles are linked with nothing and stay, repeated ones once; rows without an id stay.
+    """
+    placed = materialize(placed_rows(spark, docs, width, similarity).filter(F.col("doc_id").isNotNull()), "placed")
+    own = F.struct("doc_id", "mark")
+    first = placed.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(own).alias("first")).select("first.doc_id", "first.mark")
+    kept = first.union(placed.filter(F.col("group").isNull()).select("doc_id", "mark")).distinct()
+    doc, mark = free(docs.columns, "_doc", "_mark")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumns({doc: F.col("doc_id").cast("long"), mark: text_mark()})
+    chosen = kept.select(F.col("doc_id").alias(doc), F.col("mark").alias(mark))
+    return named.join(chosen, [doc, mark], "left_semi").dropDuplicates([doc, mark]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col("doc_id").isNull()))

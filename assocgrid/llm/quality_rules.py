@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assocgrid.llm import folds
+from assocgrid.llm.names import free
 from assocgrid.llm.tokens import portions
 from assocgrid.llm.words import window_hashes, word_hashes
 
@@ -221,5 +222,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base limits nor a rule rejects, in the columns of ``docs``."""
-    table = with_counts(docs)
-    return table.filter(~base_failed() & (verdict(learned(docs, labels)) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # columns of the user's that are named like the counts stand aside meanwhile
+    names = [PREFIX + c for c in COUNTS]
+    aside = dict(zip(docs.columns, free(names, *docs.columns)))
+    table = with_counts(docs.withColumnsRenamed(aside))
+    kept = table.filter(~base_failed() & (verdict(learned(docs, labels)) == 0))
+    return kept.select(*[F.col(f"`{there}`").alias(c) for c, there in aside.items()])

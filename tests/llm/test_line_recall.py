@@ -1,6 +1,7 @@
 """Fuzzy line removal of the registered query against edit similarity alone."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,10 +12,14 @@ from tests.llm.test_line_dedup import slow_distance
 
 def linked(names):
     """All pairs of lines whose edit similarity is at least 0.75."""
+    counts = [Counter(x) for x in names]
     for a in range(len(names)):
         for b in range(a):
             x, y = names[a], names[b]
-            if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 4 * slow_distance(x, y) <= max(len(x), len(y)):
+            longest = max(len(x), len(y))
+            if 4 * min(len(x), len(y)) < 3 * longest or 4 * sum((counts[a] - counts[b]).values()) > longest or 4 * sum((counts[b] - counts[a]).values()) > longest:
+                continue  # every edit mends one letter too many or too few
+            if 4 * slow_distance(x, y) <= longest:
                 yield x, y
 
 
@@ -114,3 +119,18 @@ def test_smallest_windows(width):
         padded = (b" " + own + b" ").ljust(width, b"\0")
         distinct = len({padded[i : i + width] for i in range(len(padded) - width + 1)})
         assert sorted(value[line == k]) == sorted(alone) and len(alone) == min(line_dedup.KEPT, distinct)
+
+
+def test_many_pairs_at_once_are_compared_as_one_by_one():
+    rng = random.Random(8)
+    xs, ys = [], []
+    for _ in range(1500):
+        x = "".join(rng.choice("abcdé 字") for _ in range(rng.choice([0, 1, 3, 20, 63, 64, 65, 128, 129, 300, 1100])))
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 3))):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "a"])
+        xs.append(x)
+        ys.append("".join(y))
+    assert line_dedup.similar_pairs(xs, ys).tolist() == [line_dedup.similar(x, y) for x, y in zip(xs, ys)]
+    assert line_dedup.similar_pairs([], []).tolist() == []

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from assocgrid.llm import line_dedup, ngram_join, quality_rules
-from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_line_recall import brute as all_pairs
 from tests.llm.test_ngram_join import brute as brute_groups
 from tests.llm.test_packing_mixing_urls_orc import checksum, level_targets, plain_ids
 
@@ -50,7 +50,7 @@ def test_quality_rules(spark, stages):
 
 def test_line_dedup(stages):
     docs, kept, _ = stages["line dedup"]
-    want = brute_lines([(r.doc_id, r.text) for r in docs])
+    want = all_pairs([(r.doc_id, r.text) for r in docs])
     before = {r.doc_id: r.text for r in docs}
     assert {r.doc_id: r.text for r in kept} == {i: t for i, t in want.items() if t == before[i] or t.strip(" ")}
     assert all(r.n_chars == len(r.text) for r in kept if r.text != before[r.doc_id])
