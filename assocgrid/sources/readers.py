@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from assocgrid.functions.finite import log2_plus_one
-from assocgrid.operators.quality import duplicate_keys, require_none
+from assocgrid.operators.quality import enforced, unique_rows
 from assocgrid.operators.select import first_per_key, with_fallback
 
 NOT_PREPARED = "Prepared table is not available locally; raw sources are not read here"
@@ -37,13 +37,29 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, r
     return df.limit(rows) if rows is not None else df
 
 
+FILE_ORDER = ("_file", "_row")
+
+
+def scan_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A prepared table with the place of each row: its file's name and its number there.
+
+    Parquet knows a row's number without reading those before it, so the order costs no sort and no
+    shuffle; files count in the order of their names.
+    """
+    rows = scan(spark, path)
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def table_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column names and types from the file footers; no data is read."""
     return scan(spark, path).schema
 
 
 def read_feature(matrix: DataFrame, feature: str, value_name: str, order: Sequence[str]) -> DataFrame:
-    """(entity, value) of one feature; of repeated entities the first by ``order`` is kept, unknowns last."""
+    """(entity, value) of one feature; of repeated entities the first by ``order`` is kept, unknowns last.
+
+    ``FILE_ORDER`` on a table of ``scan_in_order`` keeps the file's first row, known or not.
+    """
     rows = matrix.where(F.col("feature") == feature)
     known_first = [c for name in order for c in (F.col(name).isNull(), F.col(name))]
     rows = first_per_key(rows.select("entity", *dict.fromkeys(["value", *order])), ["entity"], known_first)
@@ -51,10 +67,9 @@ def read_feature(matrix: DataFrame, feature: str, value_name: str, order: Sequen
 
 
 def read_feature_strict(matrix: DataFrame, feature: str, value_name: str) -> DataFrame:
-    """The same, but a repeated entity is an error."""
-    rows = matrix.where(F.col("feature") == feature)
-    require_none(duplicate_keys(rows, ["entity"]), f"repeated entities for feature {feature}")
-    return rows.select("entity", F.col("value").cast("double").alias(value_name))
+    """The same, but a repeated entity ends the job; the check costs no pass of its own."""
+    rows = matrix.where(F.col("feature") == feature).select("entity", F.col("value").cast("double").alias(value_name))
+    return unique_rows(rows, ["entity"], f"repeated entity of feature {feature}")
 
 
 def vector_feature(vectors: DataFrame, samples: DataFrame, feature: str | None = None) -> DataFrame:
@@ -64,6 +79,27 @@ def vector_feature(vectors: DataFrame, samples: DataFrame, feature: str | None =
     return cells.join(samples, "sample_index").select("feature", "sample_id", "value")
 
 
+def feature_vectors(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """(feature, values) from ``cells(feature, sample_id, value)``: one array per feature in the samples' order.
+
+    ``samples(sample_index, sample_id)`` numbers the places from 0. A feature's array holds one value per
+    sample whatever its cells are: gaps are NULL, a repeated cell ends the job, cells of unknown samples are
+    left out. Only one feature's places meet in a row, never more than there are samples.
+    """
+    width = samples.agg(F.coalesce(F.max("sample_index") + 1, F.lit(0)).cast("int")).scalar()
+    placed = cells.join(samples, "sample_id").select("feature", F.struct(F.col("sample_index").cast("int").alias("at"), F.lit(0).alias("filled"), F.col("value").cast("double").alias("value")).alias("c"))
+    gathered = placed.groupBy("feature").agg(F.collect_list("c").alias("known")).withColumn("_width", width)
+    gaps = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda k: F.struct(k.alias("at"), F.lit(1).alias("filled"), F.lit(None).cast("double").alias("value")))
+    merged = gathered.withColumn("_all", F.array_sort(F.concat("known", gaps)))
+    # the first entry of every place, found by its neighbour before it: the cell if there is one, else the gap
+    before = F.concat(F.array(F.lit(-1)), F.transform("_all", lambda c: c["at"]))
+    marked = F.zip_with("_all", before, lambda c, at: F.when(c["at"] != at, c))
+    first = F.filter(marked, lambda c: c.isNotNull())
+    repeated = F.size(F.array_distinct(F.transform("known", lambda c: c["at"]))) < F.size("known")
+    message = F.concat(F.lit("repeated cells of feature "), F.col("feature").cast("string"))
+    return enforced(merged, ~repeated, message).select("feature", F.transform(first, lambda c: c["value"]).alias("values"))
+
+
 def with_identity(cells: DataFrame, entity_dim: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Cells with those of the wanted identity columns the dimension really has."""
     present = [c for c in wanted if c in entity_dim.columns and c != "entity"]
@@ -89,10 +125,17 @@ class Catalog:
         return scan(self.spark, self.paths[layer, name])
 
     def feature(
-        self, name: str, feature: str, layer: str = "current", value_name: str = "value", order: Sequence[str] = ("value",)
+        self, name: str, feature: str, layer: str = "current", value_name: str = "value", order: Sequence[str] = FILE_ORDER
     ) -> DataFrame:
-        """One feature of a layer; of repeated entities the first by ``order``, known values before NULL."""
-        return read_feature(self.table(name, layer), feature, value_name, order).withColumn("layer", F.lit(layer))
+        """One feature of a layer; of repeated entities the file's first row, or the first by ``order``."""
+        self.table(name, layer)  # an absent dataset or layer is an error
+        rows = scan_in_order(self.spark, self.paths[layer, name])
+        return read_feature(rows, feature, value_name, order).withColumn("layer", F.lit(layer))
+
+    def entity_metadata(self, columns: Sequence[str] | None = None, layer: str = "current", name: str = "entity_metadata", key: str = "entity") -> DataFrame:
+        """The metadata of all entities, or some of its columns with the key; a repeated entity ends the job."""
+        rows = self.table(name, layer)
+        return unique_rows(rows.select(*dict.fromkeys([key, *(columns or rows.columns)])), [key], "repeated entity metadata")
 
     def log_feature(self, name: str, feature: str, layer: str = "current", value_name: str = "value") -> DataFrame:
         df = self.feature(name, feature, layer, value_name)

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from assocgrid.operators.quality import content_hash
 
 
-def write_prepared(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+ROW_GROUP_BYTES = 16 << 20  # of a matrix: a lookup reads a row group or two
+FEATURES = 100_000  # that a Bloom filter of a row group is made for at most
+
+
+def write_prepared(df: DataFrame, path: str, codec: str = "zstd", **options: object) -> DataFrame:
     """New Parquet table; an existing one is never overwritten."""
-    df.write.mode("errorifexists").option("compression", codec).parquet(path)
+    df.write.mode("errorifexists").options(compression=codec, **options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -20,11 +24,13 @@ def write_matrix(matrix: DataFrame, path: str, partitions: int | None = None) ->
     """Long matrix sorted by feature, so that Parquet statistics find one feature.
 
     The range key includes the entity: a feature holding a large part of all cells is
-    spread over several files instead of one.
+    spread over several files instead of one. Row groups are small and carry a Bloom filter of their
+    features, so that a name inside a group's range that it does not have is not read either.
     """
     keys = ["feature", "entity"]
     ranged = matrix.repartitionByRange(partitions, *keys) if partitions else matrix.repartitionByRange(*keys)
-    return write_prepared(ranged.sortWithinPartitions(*keys), path)
+    bloom = {"parquet.bloom.filter.enabled#feature": "true", "parquet.bloom.filter.expected.ndv#feature": FEATURES, "parquet.bloom.filter.adaptive.enabled": "true"}
+    return write_prepared(ranged.sortWithinPartitions(*keys), path, **{"parquet.block.size": ROW_GROUP_BYTES, **bloom})
 
 
 def write_export(df: DataFrame, path: str) -> None:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +31,40 @@ def _local_folder() -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _OPEN.get():
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes on leaving every intermediate table that was written inside.
+
+    Tables returned by operators read those, so write or collect the results before the end:
+
+        with scratch(spark):
+            screens.feature_screen(matrix, driver, "level_log", low).write.parquet(path)
+    """
+    paths: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), paths))
+    try:
+        yield paths
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared store; whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
