@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from assocgrid.functions.finite import log2_plus_one
-from assocgrid.operators.quality import enforced, unique_rows
+from assocgrid.operators.quality import duplicate_keys, enforced, require_none, unique_rows
 from assocgrid.operators.select import first_per_key, with_fallback
 
 NOT_PREPARED = "Prepared table is not available locally; raw sources are not read here"
@@ -67,7 +67,14 @@ def read_feature(matrix: DataFrame, feature: str, value_name: str, order: Sequen
 
 
 def read_feature_strict(matrix: DataFrame, feature: str, value_name: str) -> DataFrame:
-    """The same, but a repeated entity ends the job; the check costs no pass of its own."""
+    """The same, but a repeated entity is an error."""
+    rows = matrix.where(F.col("feature") == feature)
+    require_none(duplicate_keys(rows, ["entity"]), f"repeated entities for feature {feature}")
+    return rows.select("entity", F.col("value").cast("double").alias(value_name))
+
+
+def lookup_feature(matrix: DataFrame, feature: str, value_name: str) -> DataFrame:
+    """``read_feature_strict`` in one job: a repeated entity ends the job that reads the result."""
     rows = matrix.where(F.col("feature") == feature).select("entity", F.col("value").cast("double").alias(value_name))
     return unique_rows(rows, ["entity"], f"repeated entity of feature {feature}")
 

@@ -83,7 +83,7 @@ def main() -> None:
     for name in HEADLINE:
         timed(spent, name, lambda name=name: REGISTRY.queries[name](spark, folder))
     stored = sinks.write_matrix(long_matrix(Tables(spark, folder)), new_path(spark, "bench"))
-    timed(spent, "feature_lookup", lambda: readers.read_feature_strict(stored, "Brand#7", "level"))
+    timed(spent, "feature_lookup", lambda: readers.lookup_feature(stored, "Brand#7", "level"))
     matrix, driver = wide_inputs(spark, folder)
     low = screens.low_group()
     timed(spent, "wide_feature_screen", lambda: screens.feature_screen(matrix, driver, "level_log", low))

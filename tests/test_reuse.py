@@ -74,9 +74,9 @@ def test_scratch_tables_go(spark):
 def test_lookup_skips_absent_features(spark, tmp_path):
     cells = spark.range(2000).select((F.col("id") % 40).alias("entity"), F.concat(F.lit("f"), F.floor(F.col("id") / 40).cast("string")).alias("feature"), F.col("id").cast("double").alias("value"))
     matrix = sinks.write_matrix(cells, str(tmp_path / "m"))
-    assert readers.read_feature_strict(matrix, "f7", "v").count() == 40
+    assert readers.lookup_feature(matrix, "f7", "v").count() == 40
     with pytest.raises(Exception, match="repeated entity"):
-        readers.read_feature_strict(matrix.union(matrix), "f7", "v").collect()
+        readers.lookup_feature(matrix.union(matrix), "f7", "v").collect()
     import pyarrow.parquet as pq
 
     file = next(p for p in (tmp_path / "m").glob("*.parquet"))
