@@ -176,7 +176,9 @@ def placed_rows(spark: SparkSession, docs: DataFrame, width: int, similarity: tu
     rows = materialize(sketches(docs, width, similarity), "sketches")
     useful = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = useful.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as written
+    # numbered once, as written, in the order of the ids: the hub of near copies is then their oldest text
+    ordered = classes.repartitionByRange("least", "low", "high").sortWithinPartitions("least", "low", "high")
+    classes = materialize(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     counts = shared_counts(useful.select("tokens", "low")).union(useful.filter(F.col("known") > 0).select("low", F.col("known").alias("shared")))
     counts = counts.groupBy(F.col("low").alias("_low")).agg(F.sum("shared").alias("shared"))
     wanted = classes.join(counts, F.col("low") == F.col("_low")).filter(F.col("shared") >= spare(F.col("n"))).select("node", "least", "low", "high")
@@ -200,9 +202,10 @@ def placed_rows(spark: SparkSession, docs: DataFrame, width: int, similarity: tu
 
     meetings = materialize(prefix.select("node", "n", F.explode("rare").alias("r")).select(F.col("r.key").alias("key"), "node", "n", F.col("r.at").alias("at")), "meetings")
     found = links.connect(spark, meetings, verify, possible, ["n", "at"])
-    linked = materialize(classes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("component", "node")), "class-groups")
-    least = linked.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("_least"))
-    placed = linked.join(links.few(materialize(least, "group-ids")), F.col("group") == F.col("_group")).select("low", "high", "group", F.col("_least").alias("component_id"))
+    linked = materialize(classes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node"), "class-groups")
+    least = linked.filter(F.col("component").isNotNull()).groupBy(F.col("component").alias("_group")).agg(F.min("least").alias("_least"))
+    together = linked.join(links.few(materialize(least, "group-ids")), F.col("component") == F.col("_group"), "left")
+    placed = together.select("low", "high", F.coalesce("component", "node").alias("group"), F.coalesce("_least", "least").alias("component_id"))
     joined = rows.alias("r").join(placed.alias("p"), (F.col("r.low") == F.col("p.low")) & (F.col("r.high") == F.col("p.high")) & F.col("r.doc_id").isNotNull() & (F.col("r.n") > 0), "left")
     return joined.select("doc_id", "mark", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
