@@ -2,8 +2,11 @@
 
 One scan gives a row per case. The schema of ``CASE`` names the fields that the tables need and takes
 the nested records (``demographic``, each diagnosis, each sample) as their JSON text: Spark's reader
-hands such a record over unparsed, so fields that no schema names are kept too. Both tables are
-projections of those rows; nothing is exploded but samples and their aliquots, and nothing shuffles.
+hands such a record over unparsed, so fields that no schema names are kept too. It cuts the records
+out of a line that it holds; of a file under ``multiLine`` it would open the file again for each
+record. So a file of several lines is read as one line, up to a separator that no JSON text holds.
+Both tables are projections of those rows; nothing is exploded but samples and their aliquots, and
+nothing shuffles.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ SAMPLE_KIND = ("sample_type", "tissue_type", "tumor_descriptor", "specimen_type"
 SAMPLE = ("sample_id", "submitter_id", *SAMPLE_KIND)
 PORTIONS = "array<struct<portion_id: string, analytes: array<struct<analyte_id: string, analyte_type: string, aliquots: array<string>>>>>"
 
+# control characters, which JSON allows neither in texts nor between its parts
+END_OF_FILE = "\x1e\x1d\x1e"
+
 # fixed values: where an age comes from
 AGE_FROM_INDEX = "demographic.age_at_index (years)"
 AGE_FROM_DAYS = "diagnosis.age_at_diagnosis / 365.25"
@@ -38,15 +44,21 @@ def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
     A record that is no JSON has its text in ``unreadable`` and NULLs elsewhere.
     """
-    options = {"multiLine": str(multi_line).lower(), "recursiveFileLookup": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
+    options = {"recursiveFileLookup": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
+    if multi_line:
+        options["lineSep"] = END_OF_FILE
     rows = spark.read.options(**options).schema(CASE).json(path)
     nested = {"demographic": compacted(F.col("demographic")), "diagnoses": F.transform("diagnoses", compacted), "samples": F.transform("samples", compacted)}
     return rows.withColumns(nested).select(F.col("project.project_id").alias("project_id"), *[c for c in rows.columns if c != "project"])
 
 
 def compacted(text: Column) -> Column:
-    """A JSON text without the white space between its parts; its texts, numbers and order stay as they are."""
-    return F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+")|\s++', "$1")
+    """A JSON text without the white space between its parts; its texts, numbers and order stay as they are.
+
+    White space between parts touches a bracket, a colon or a comma: a text where none does is compact.
+    """
+    loose = F.rlike(text, F.lit(r"[\[\]{}:,]\s|\s[\[\]{}:,]"))
+    return F.when(loose, F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+")|\s++', "$1")).otherwise(text)
 
 
 def case_problems(cases: DataFrame, project_prefix: str = "") -> DataFrame:

@@ -70,6 +70,30 @@ def test_lines_of_cases_with_a_broken_one(spark, tmp_path):
     assert [r.case_id for r in clinical.collect()] == ["c1"] and [r.problem for r in problems.collect()] == ["unreadable record"]
 
 
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_a_file_of_several_lines_is_read_once(spark, tmp_path):
+    # under multiLine the reader opens the file again for every nested record
+    file = tmp_path / "many.json"
+    file.write_text(json.dumps([dict(CASES[0], case_id=f"c{k}") for k in range(300)], indent=1, ensure_ascii=False), encoding="utf-8")
+    before = bytes_read(spark)
+    rows = cases.read_cases(spark, str(tmp_path)).collect()
+    assert len(rows) == 300 and {r.unreadable for r in rows} == {None} and rows[7].diagnoses == [text(d) for d in DIAGNOSES]
+    assert bytes_read(spark) - before < 2 * file.stat().st_size
+
+
+def test_texts_of_records_stay_as_they_are(spark, tmp_path):
+    loose = '{"a": [1.50 , 1e400],\n\t"b c": "x , \\" : y"}'
+    (tmp_path / "kept.json").write_text('[{"case_id": "c8",\n "demographic": %s}]\n' % loose)
+    with gzip.open(tmp_path / "odd.json.gz", "wt") as f:
+        f.write('[{"case_id": "c9",\n "samples": 5}]\n')
+    rows = {r.case_id: r for r in cases.read_cases(spark, str(tmp_path)).collect()}
+    assert rows["c8"].demographic == '{"a":[1.50,1e400],"b c":"x , \\" : y"}' and rows["c8"].unreadable is None
+    assert rows["c9"].unreadable is not None
+
+
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "a.tsv").write_text("# made by hand\n#x\nid\tStart\tCopy\nr1\t5\tNA\nr2\t6\t1.5\n")
