@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assocgrid.functions.labels import years_from_days
 from assocgrid.storage import materialize
@@ -69,7 +70,23 @@ def case_problems(cases: DataFrame, project_prefix: str = "") -> DataFrame:
         .when(F.col("project_id").isNull(), "no project")
         .when(~F.startswith("project_id", F.lit(project_prefix)), "foreign project")
     )
-    return cases.select("project_id", "case_id", problem.alias("problem")).where("problem IS NOT NULL")
+    return _whole(cases).select("project_id", "case_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def usable_cases(cases: DataFrame, project_prefix: str = "") -> DataFrame:
+    """The cases without such a problem."""
+    named = F.col("case_id").isNotNull() & F.col("project_id").isNotNull()
+    return _whole(cases).where(F.col("unreadable").isNull() & named & F.startswith("project_id", F.lit(project_prefix)))
+
+
+def _whole(cases: DataFrame) -> DataFrame:
+    """The same rows, all of whose columns are asked for.
+
+    A reader that leaves columns out does not find a record unreadable that is so for their sake. The
+    condition holds for every row.
+    """
+    sizes = [F.size(c) if isinstance(cases.schema[c].dataType, T.ArrayType) else F.length(c) for c in cases.columns]
+    return cases.where(F.coalesce(*sizes, F.lit(0)) >= -1)
 
 
 # ---- values of a record's children, all inside the row ------------------------------------
@@ -186,10 +203,13 @@ def without_field(text: str, field: str) -> Column:
 
 
 def case_tables(spark: SparkSession, path: str, project_prefix: str = "", multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clinical, biospecimen, problems) of the files, which are read once and kept as columns."""
+    """(clinical, biospecimen, problems) of the files, which are read once and kept as columns.
+
+    For one of the three alone, its own function on ``read_cases`` writes nothing.
+    """
     cases = materialize(read_cases(spark, path, multi_line), "cases")
     problems = case_problems(cases, project_prefix)
-    good = cases.where(F.col("unreadable").isNull() & F.col("case_id").isNotNull() & F.col("project_id").isNotNull() & F.startswith("project_id", F.lit(project_prefix)))
+    good = usable_cases(cases, project_prefix)
     return clinical_rows(good), biospecimen_rows(good), problems
 
 

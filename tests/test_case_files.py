@@ -64,6 +64,16 @@ def test_problems_and_unknown_fields(spark, tables, tmp_path):
     assert found == {("demographic", "new", 1), ("diagnosis", "novel", 1), ("sample", "q", 1)}
 
 
+def test_problems_alone_are_those_of_the_tables(spark, tmp_path):
+    # a record whose samples are no list is unreadable for every reader, also for one that needs no samples
+    (tmp_path / "lines.json").write_text(text(CASES[0]) + "\n" + text({**CASES[1], "samples": 5}) + "\n" + text(CASES[2]) + "\n")
+    clinical, _, problems = cases.case_tables(spark, str(tmp_path), "TCGA-", multi_line=False)
+    read = cases.read_cases(spark, str(tmp_path), multi_line=False)
+    assert sorted(cases.case_problems(read, "TCGA-").collect()) == sorted(problems.collect())
+    assert {r.problem for r in problems.collect()} == {"unreadable record", "foreign project"}
+    assert cases.clinical_rows(cases.usable_cases(read, "TCGA-")).collect() == clinical.collect() and clinical.count() == 1
+
+
 def test_lines_of_cases_with_a_broken_one(spark, tmp_path):
     (tmp_path / "lines.json").write_text(text(CASES[0]) + "\n" + text(CASES[1])[:40] + "\n", encoding="utf-8")
     clinical, _, problems = cases.case_tables(spark, str(tmp_path), "TCGA-", multi_line=False)
