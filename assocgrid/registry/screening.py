@@ -305,10 +305,12 @@ def target_row_differences(spark: SparkSession, folder: str) -> DataFrame:
 
 # one flag per user and event type; users are matched to customers by key
 FLAGS = """fl AS (SELECT user_id AS entity, event_type AS definition, CASE WHEN avg(value) > 50 THEN 1.0 ELSE 0.0 END AS value FROM events GROUP BY 1, 2)"""
+# means of a few decimals meet the threshold exactly; the order of a sum must not decide then
+EXACT_FLAGS = FLAGS.replace("avg(value)", "round(avg(value), 9)")
 WANTED = ["click", "error", "purchase", "view", "hotspot"]
 
 
-@add("mutation_groups", f"""WITH {M}, {FLAGS}, tg AS (SELECT entity, value AS y FROM m WHERE feature = 'Brand#7'), r AS (SELECT definition, y, fl.value > 0 AS low FROM fl JOIN tg USING (entity)),
+@add("mutation_groups", f"""WITH {M}, {EXACT_FLAGS}, tg AS (SELECT entity, value AS y FROM m WHERE feature = 'Brand#7'), r AS (SELECT definition, y, fl.value > 0 AS low FROM fl JOIN tg USING (entity)),
    e AS (SELECT *, {normal_p('rank_sum_z')} AS p FROM ({effects_sql('r', 'definition')}) WHERE eligible), f AS ({bh_sql('e', 'p', 'fdr')}) """ + final(
    "SELECT *, n_low AS n_mutant, n_other AS n_wt, median_low AS median_mutant, median_other AS median_wt FROM f",
    ["definition"], ["n_mutant", "n_wt"], ["median_mutant", "median_wt", "delta_median", "rank_sum_z", "p", "fdr"]))
@@ -318,7 +320,7 @@ def mutation_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flags(t: Tables) -> DataFrame:
-    flag = F.when(F.avg("value") > 50, 1.0).otherwise(0.0)
+    flag = F.when(F.round(F.avg("value"), 9) > 50, 1.0).otherwise(0.0)
     return t.events.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("definition")).agg(flag.alias("value"))
 
 
