@@ -114,7 +114,7 @@ def renamed_columns(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("o_orderkey", "workflow", "purity")
 
 
-SAMPLE_ID = "'TCGA-AB-' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') || CASE WHEN o_orderstatus = 'F' THEN '' ELSE '-01' END"
+SAMPLE_ID = "'TCGA-AB-' || lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(4, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0') || CASE WHEN o_orderstatus = 'F' THEN '' ELSE '-01' END"
 
 
 @add("variant_report", f"SELECT count(*) AS n_rows, count(DISTINCT {SAMPLE_ID}) AS n_samples, count(DISTINCT l_partkey) AS n_features, count(*) FILTER (WHERE o_orderstatus = 'F' OR o_custkey > 9999) AS n_bad_ids FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -373,9 +373,10 @@ def inconsistent_rows(spark: SparkSession, folder: str) -> DataFrame:
     return quality.inconsistent_rows(rows, [("o_orderstatus", "l_linestatus")])
 
 
-@add("domain_violations", """WITH v AS (SELECT CASE WHEN c_acctbal > 0 THEN log2(c_acctbal) END AS x FROM customer)
-   SELECT * FROM (SELECT 'below 2' AS rule, count(*) FILTER (WHERE x < 2) AS n FROM v UNION ALL SELECT 'above 13', count(*) FILTER (WHERE x > 13) FROM v UNION ALL SELECT 'not an integer', count(*) FILTER (WHERE x <> round(x)) FROM v
-     UNION ALL SELECT 'not allowed', count(x) FROM v) WHERE n > 0""")
+@add("domain_violations", """WITH v AS (SELECT CASE WHEN c_acctbal > 0 THEN log2(c_acctbal) END AS x FROM customer),
+   f AS (SELECT x FROM v WHERE isfinite(x))
+   SELECT * FROM (SELECT 'below 2' AS rule, count(*) FILTER (WHERE x < 2) AS n FROM f UNION ALL SELECT 'above 13', count(*) FILTER (WHERE x > 13) FROM f UNION ALL SELECT 'not an integer', count(*) FILTER (WHERE x <> round(x)) FROM f
+     UNION ALL SELECT 'not allowed', count(*) FILTER (WHERE x NOT IN (-2, -1, 0)) FROM f UNION ALL SELECT 'not finite', count(*) FILTER (WHERE NOT isfinite(x)) FROM v) WHERE n > 0""")
 def domain_violations(spark: SparkSession, folder: str) -> DataFrame:
     rows = Tables(spark, folder).customer.select(F.when(F.col("c_acctbal") > 0, F.log2("c_acctbal")).alias("x"))
     return quality.domain_violations(rows, "x", 2, 13, integer=True, allowed=[-2.0, -1.0, 0.0])
