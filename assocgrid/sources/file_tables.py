@@ -36,8 +36,9 @@ def file_headers(spark: SparkSession, folder: str, comment: str = "#") -> DataFr
     # a file's first split is read from its start by one task, whose row numbers rise
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     told = lines.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").where((F.trim("value") != "") & ~F.startswith("value", F.lit(comment)))
-    header = told.groupBy("path").agg(F.min_by("value", "place").alias("header"))
-    return header.withColumn("header", F.regexp_replace("header", "^﻿|\r$", ""))
+    # min_by alone keeps texts, for which Spark sorts all lines of a task; beside a collected set it keeps one entry per file
+    header = told.groupBy("path").agg(F.min_by("value", "place").alias("header"), F.collect_set("place.block").alias("blocks"))
+    return header.where(F.size("blocks") > 0).select("path", F.regexp_replace("header", "^﻿|\r$", "").alias("header"))
 
 
 def read_group(spark: SparkSession, paths: Sequence[str], names: Sequence[str], separator: str, comment: str) -> DataFrame:

@@ -126,6 +126,13 @@ def test_files_with_differing_headers(spark, folder):
     assert len({r.header for r in file_tables.file_headers(spark, folder).collect()}) == 2
 
 
+def test_headers_are_found_without_sorting_the_lines(spark, folder):
+    plan = file_tables.file_headers(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+    found = {r.path.rsplit("/", 1)[1]: r.header for r in file_tables.file_headers(spark, folder).collect()}
+    assert found == {"a.tsv": "id\tStart\tCopy", "b.tsv": "Copy\tid\tNote", "c.tsv.gz": "id\tStart\tCopy"}
+
+
 def test_files_that_must_stop(spark, folder, tmp_path):
     rows = file_tables.read_file_tables(spark, folder)
     manifest = spark.createDataFrame([("a.tsv",), ("b.tsv",)], "file_name string")
