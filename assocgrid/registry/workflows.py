@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assocgrid.operators.results import ResultTable
 from assocgrid.plans import reuse
 from assocgrid.registry.base import REGISTRY, M, Tables, prepared_matrix
 from assocgrid.sources import readers
-from assocgrid.storage import new_path
+from assocgrid.storage import materialize, new_path
 
 add = REGISTRY.add
 
@@ -44,6 +45,7 @@ def vector_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """All features to arrays in the customers' order and back, gaps included."""
     t = Tables(spark, folder)
     name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
-    samples = t.customer.select(F.row_number().over(Window.orderBy("c_custkey")).alias("n"), name.alias("sample_id")).select((F.col("n") - 1).alias("sample_index"), "sample_id")
+    numbered = ResultTable(t.customer.select("c_custkey"), ["c_custkey"]).rank("n", [F.col("c_custkey")]).frame
+    samples = materialize(numbered.select((F.col("n") - 1).cast("int").alias("sample_index"), name.alias("sample_id")), "samples")
     cells = prepared_matrix(t).select("feature", F.concat(F.lit("c"), F.col("entity").cast("string")).alias("sample_id"), "value")
     return readers.vector_feature(readers.feature_vectors(cells, samples), samples)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -86,25 +86,42 @@ def vector_feature(vectors: DataFrame, samples: DataFrame, feature: str | None =
     return cells.join(samples, "sample_index").select("feature", "sample_id", "value")
 
 
+# places of an array that are put in order together
+BLOCK = 4096
+
+
 def feature_vectors(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """(feature, values) from ``cells(feature, sample_id, value)``: one array per feature in the samples' order.
 
     ``samples(sample_index, sample_id)`` numbers the places from 0. A feature's array holds one value per
     sample whatever its cells are: gaps are NULL, a repeated cell ends the job, cells of unknown samples are
-    left out. Only one feature's places meet in a row, never more than there are samples.
+    left out. Blocks of places are filled on their own, so that all tasks share the work; then a feature's
+    blocks meet in a row, never more values than there are samples.
     """
     width = samples.agg(F.coalesce(F.max("sample_index") + 1, F.lit(0)).cast("int")).scalar()
-    placed = cells.join(samples, "sample_id").select("feature", F.struct(F.col("sample_index").cast("int").alias("at"), F.lit(0).alias("filled"), F.col("value").cast("double").alias("value")).alias("c"))
-    gathered = placed.groupBy("feature").agg(F.collect_list("c").alias("known")).withColumn("_width", width)
-    gaps = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda k: F.struct(k.alias("at"), F.lit(1).alias("filled"), F.lit(None).cast("double").alias("value")))
-    merged = gathered.withColumn("_all", F.array_sort(F.concat("known", gaps)))
+    index, size = F.col("sample_index").cast("int"), F.least(F.lit(BLOCK), F.col("_width") - F.col("_block") * BLOCK)
+    place = F.struct((index % BLOCK).alias("at"), F.lit(0).alias("filled"), F.col("value").cast("double").alias("value"))
+    placed = cells.join(samples, "sample_id").select("feature", F.floor(index / BLOCK).cast("int").alias("_block"), place.alias("c"))
+    gathered = placed.groupBy("feature", "_block").agg(F.collect_list("c").alias("known")).withColumn("_width", width)
+    repeated = F.size(F.array_distinct(F.transform("known", lambda c: c["at"]))) < F.size("known")
+    message = F.concat(F.lit("repeated cells of feature "), F.col("feature").cast("string"))
+    blocks = _by_place(enforced(gathered, ~repeated, message), size, lambda k: F.lit(None).cast("double"))
+
+    block = F.struct(F.col("_block").alias("at"), F.lit(0).alias("filled"), F.col("values").alias("value"))
+    whole = blocks.groupBy("feature").agg(F.collect_list(block).alias("known")).withColumn("_width", width)
+    empty = F.lit(None).cast("double")
+    whole = _by_place(whole, F.ceil(F.col("_width") / BLOCK).cast("int"), lambda k: F.array_repeat(empty, F.least(F.lit(BLOCK), F.col("_width") - k * BLOCK)))
+    return whole.select("feature", F.flatten("values").alias("values"))
+
+
+def _by_place(rows: DataFrame, count: Column, gap: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``values``: for each of ``count`` places from 0 the value that ``known(at, filled, value)`` has there, else its gap."""
+    gaps = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("at"), F.lit(1).alias("filled"), gap(k).alias("value")))
+    merged = rows.withColumn("_all", F.array_sort(F.concat("known", gaps)))
     # the first entry of every place, found by its neighbour before it: the cell if there is one, else the gap
     before = F.concat(F.array(F.lit(-1)), F.transform("_all", lambda c: c["at"]))
     marked = F.zip_with("_all", before, lambda c, at: F.when(c["at"] != at, c))
-    first = F.filter(marked, lambda c: c.isNotNull())
-    repeated = F.size(F.array_distinct(F.transform("known", lambda c: c["at"]))) < F.size("known")
-    message = F.concat(F.lit("repeated cells of feature "), F.col("feature").cast("string"))
-    return enforced(merged, ~repeated, message).select("feature", F.transform(first, lambda c: c["value"]).alias("values"))
+    return merged.withColumn("values", F.transform(F.filter(marked, lambda c: c.isNotNull()), lambda c: c["value"])).drop("known", "_all")
 
 
 def with_identity(cells: DataFrame, entity_dim: DataFrame, wanted: Sequence[str]) -> DataFrame:
