@@ -174,7 +174,8 @@ def matched_pair(driver: DataFrame, target: DataFrame, level: str = "level", val
     One row per entity, written once: every statistic of the pair reads it several times.
     """
     d = driver.select("entity", F.col(level).alias("level"))
-    t = target.select("entity", F.col(value).alias("target"))
+    # the check for repeated entities and the join read it: a row of a matrix is often the sum of many others
+    t = materialize(target.select("entity", F.col(value).alias("target")), "target")
     pair = prepare_driver(finite_pairs(one_to_one_join(d, t, ["entity"]), "level", "target"), "level").where(is_finite("level_log"))
     return materialize(pair, "pair")
 

@@ -227,8 +227,9 @@ def pair_targeted(spark: SparkSession, folder: str) -> DataFrame:
    ["direction"], ["n"], [*CORR_COLUMNS, "delta_median", "rank_sum_p"]))
 def reverse_pair(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    both = [long_matrix(t).where(F.col("feature") == b).select("entity", (F.col("value") / 100).alias("level"), "value") for b in ("Brand#1", "Brand#2")]
-    a, b = both
+    # written once: both directions check and join both features
+    matrix = materialize(long_matrix(t).where(F.col("feature").isin("Brand#1", "Brand#2")), "matrix")
+    a, b = (matrix.where(F.col("feature") == b).select("entity", (F.col("value") / 100).alias("level"), "value") for b in ("Brand#1", "Brand#2"))
     out = screens.both_directions(screens.matched_pair(a, b), screens.matched_pair(b, a))
     return rounded(out.select("direction", "n", *CORR_COLUMNS, "delta_median", "rank_sum_p"))
 
