@@ -13,6 +13,7 @@ from assocgrid.functions.states import STATES, TUMOUR_TYPES, relative_change, st
 from assocgrid.operators.ordered import exact_quantiles, null_safe_join
 from assocgrid.operators.quality import duplicate_keys, enforced, unique_rows
 from assocgrid.operators.results import ResultTable
+from assocgrid.storage import materialize
 
 
 def modal_baseline(cells: DataFrame, entity: str, value: str) -> DataFrame:
@@ -77,7 +78,9 @@ def pie_shares(df: DataFrame, code: str = "state_code", labelled_from: float = 8
 
 def stratum_order(df: DataFrame, strata: DataFrame, stratum: str, change: str = "relative_change") -> DataFrame:
     """Listed strata numbered by median relative change, ties by name, empty strata last."""
-    medians = exact_quantiles(df.where(F.col(stratum).isNotNull()), [stratum], change, {"median_change": 0.5})
+    # counting, cutting and placing the rows of large strata each read them
+    rows = materialize(df.where(F.col(stratum).isNotNull()).select(stratum, change), "changes")
+    medians = exact_quantiles(rows, [stratum], change, {"median_change": 0.5})
     table = ResultTable(strata.select(stratum).join(medians, stratum, "left").fillna({"n": 0}), [stratum])
     return table.rank("position", [F.col("median_change").asc_nulls_last()]).frame
 
